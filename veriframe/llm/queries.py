@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import mixing, simhash
+from veriframe.llm import bpe, media, mixing, simhash
 from veriframe.llm.common import table
 
 
+#: The tokenizer of op8, as the package of public tokenizers names it.
+TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+
+
+def op2_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -19,6 +27,12 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 3))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+
+
 OP6_SQL = r"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -59,8 +73,10 @@ CROSS JOIN LATERAL (SELECT (g.base + CASE WHEN g.base < 2 AND (d.h < x.e.h OR (d
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_jpeg_media": op2_jpeg_media,
     "op4_simhash_bktree": op4_simhash_bktree,
     "op6_source_mixing": op6_source_mixing,
+    "op8_byte_bpe": op8_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_source_mixing": OP6_SQL}
