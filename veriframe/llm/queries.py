@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import bpe, media, mixing, simhash
+from veriframe.llm import bpe, media, mixing, ngramlm, simhash
 from veriframe.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
+def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramlm.scores(table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = r"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_bktree": op4_simhash_bktree,
     "op6_source_mixing": op6_source_mixing,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_backoff_lm": op10_backoff_lm,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_source_mixing": OP6_SQL}
