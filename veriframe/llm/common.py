@@ -43,12 +43,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[app]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None, per_file: int = 1_000_000) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
 
-    The table is removed when the driver exits.
+    ``rows``: at most so many rows are to be written; the table then has a file for each ``per_file`` of them, so that
+    small tables aren't one small file for each shuffle partition. The table is removed when the driver exits.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // per_file)))
     path = f"{shared_folder(spark).rstrip('/')}/veriframe/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
@@ -78,20 +81,26 @@ def share_of_hash(*cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)).cast("double") / float(1 << 40)
 
 
-def bounded_sample(rows: DataFrame, strata: list[str], key: str, most: int, wanted: Column | None = None) -> DataFrame:
-    """Keys and strata of about ``most`` rows (never over 1.5 times as many) of each stratum, chosen by hash.
+#: Most strata of a sample; their counts are collected.
+STRATA = 10_000
 
-    One pass over ``strata`` and ``key`` counts the strata; a threshold on the hash then picks the rows, so no task
-    gathers a stratum. A hash threshold rather than a sort: the same rows are chosen whatever the partitions.
+
+def bounded_sample(rows: DataFrame, strata: list[str], key: str, most: int) -> DataFrame:
+    """(key, strata, _n) of about ``most`` rows of each stratum, chosen by hash; _n is the stratum's number of rows.
+
+    One pass counts the strata; a threshold on the key's hash then picks the rows, so no task gathers a stratum and the
+    same rows are chosen whatever the partitions. At most STRATA strata.
     """
-    part = rows.select(key, *strata) if wanted is None else rows.where(wanted).select(key, *strata)
-    counts = part.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in strata]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    joined = part.alias("a").join(counts.alias("b"), on)
-    return joined.where(share_of_hash(f"a.{key}") * F.col("_n") < most).select(*(F.col(f"a.{c}") for c in (key, *strata)), "_n")
+    spark = rows.sparkSession
+    counts = rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n")).limit(STRATA + 1).collect()
+    if len(counts) > STRATA:
+        raise ValueError(f"over {STRATA} strata")
+    kinds = T.StructType([*(T.StructField(f"_s{i}", rows.schema[c].dataType) for i, c in enumerate(strata)), T.StructField("_n", T.LongType())])
+    each = F.broadcast(spark.createDataFrame([tuple(r) for r in counts], kinds))
+    on = F.lit(True)
+    for i, c in enumerate(strata):
+        on = on & rows[c].eqNullSafe(each[f"_s{i}"])
+    return rows.join(each, on).where(share_of_hash(key) * F.col("_n") < most).select(key, *strata, "_n")
 
 
 def chunks(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
@@ -113,16 +122,16 @@ def fields(df: DataFrame, *names: str) -> list[T.StructField]:
     return [df.schema[n] for n in names]
 
 
-def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
+def connected_components(edges: DataFrame, name: str = "components", nodes: int | None = None) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star steps.
 
-    ``edges``: two integer columns ``a``, ``b``. Returns (node, component), component the smallest node that can be
+    ``edges``: two integer columns ``a``, ``b``; ``nodes``: how many there can be, for the size of files. Returns (node, component), component the smallest node that can be
     reached, for every node of an edge between two different nodes. Each step is a minimum with map-side combination
     and an equi-join that adaptive execution may split, and its edges are written to the shared folder; only the
     number of steps (logarithmic in the longest path) is known to the driver.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    e = written(e, name)
+    e = written(e, name, nodes)
     while True:
         unfinished = (
             e.select(F.col("u").alias("n"), F.lit(1).alias("below"), F.lit(0).alias("root"))
@@ -138,4 +147,4 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        e = written(small.where("u <> v").distinct(), name)
+        e = written(small.where("u <> v").distinct(), name, nodes)
