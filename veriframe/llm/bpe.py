@@ -150,6 +150,17 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     return _mapped(docs, path, pattern, key, text, columns, row)
 
 
+def encode_decode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, ids array<int>, decoded string): :func:`encode` with the text that the ids decode to."""
+    columns = {"n_tokens": ("bigint", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())}
+
+    def row(found: list) -> tuple:
+        ids = list(chain.from_iterable([w[0] for w in found]))
+        return len(ids), ids, b"".join([w[2] for w in found]).decode("utf-8", "replace")
+
+    return _mapped(docs, path, pattern, key, text, columns, row)
+
+
 def decode(tokens: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(key, decoded binary) of every row of ids; null ids decode to null, an id outside the vocabulary is an error."""
     ranks = tokens.sparkSession.sparkContext.broadcast(read_ranks(path))

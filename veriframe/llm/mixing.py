@@ -65,7 +65,8 @@ def thresholds(docs: DataFrame, key: str, text: str, source: str, weights: tuple
     """Each document's (key, source, size, h); each source's target and threshold; whether the sources are few."""
     rows = written(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), words_of(text).alias("size"), F.substring(digits_of(key), 1, DIGITS * ROUNDS).alias("h")), "mix-sizes")
     goal = written(targets(rows, weights, budget, repeats), "mix-targets")
-    few = goal.count() <= FEW
+    sources = goal.count()
+    few = sources <= FEW
     base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     state = goal.withColumn("base", base).withColumn("left", F.when(F.col("source_size") > 0, F.col("target") - F.col("base") * F.col("source_size")).otherwise(F.lit(0.0))).withColumn("prefix", F.lit(""))
     for r in range(1, ROUNDS + 1):
@@ -77,10 +78,10 @@ def thresholds(docs: DataFrame, key: str, text: str, source: str, weights: tuple
         sums = _joined(sums, state.select("source", "left"), few).where("before <= left")
         edge = sums.groupBy("source").agg(F.max(F.struct("bucket", "before", "words")).alias("edge"))
         rest = (F.col("left") - F.col("edge.before")).alias("left")
-        state = written(_joined(edge, state.drop("prefix", "words"), few).select("source", "source_size", "target", "base", rest, F.col("edge.bucket").alias("prefix"), F.col("edge.words").alias("words")), "mix-round")
+        state = written(_joined(edge, state.drop("prefix", "words"), few).select("source", "source_size", "target", "base", rest, F.col("edge.bucket").alias("prefix"), F.col("edge.words").alias("words")), "mix-round", sources)
     # the last bucket is taken or not, whichever is closer
     extra = F.when(F.col("base") >= repeats, "").when(F.col("words") - F.col("left") < F.col("left"), F.concat("prefix", F.lit("~"))).otherwise(F.col("prefix"))
-    return rows, written(state.select("source", "source_size", "target", "base", extra.alias("below")), "mix-thresholds"), few
+    return rows, written(state.select("source", "source_size", "target", "base", extra.alias("below")), "mix-thresholds", sources), few
 
 
 def _copies() -> Column:

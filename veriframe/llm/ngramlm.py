@@ -202,7 +202,8 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: in
     spark = docs.sparkSession
     out_of = F.coalesce(remainder(key, modulus) == held, F.lit(False))
     train = docs.where(~out_of)
-    words = written(word_counts(train, text), "lm-words")
+    # a file for the words of about ten thousand texts
+    words = written(word_counts(train, text), "lm-words", docs.count(), 10_000)
     n, v, once, twice = words.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     n = n or 0
     d = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5

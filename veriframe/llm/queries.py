@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import bpe, media, mixing, ngramlm, simhash
+from veriframe.llm import bpe, embdedup, htmltext, langid, linededup, media, mixing, ngramlm, simhash, toxicity
 from veriframe.llm.common import table
 
 
@@ -15,24 +15,45 @@ from veriframe.llm.common import table
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_conv_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_mincut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extracted(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_centroid_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 3))
 
 
+def op7_projection_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.without_repeats(docs).select("doc_id", "n_units", F.size("spans").alias("n_removed"), F.coalesce(F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"]), F.lit(0)).alias("removed_chars"), "spans", "text")
+
+
 def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramlm.scores(table(spark, sf_dir, "documents"))
 
@@ -77,11 +98,19 @@ CROSS JOIN LATERAL (SELECT (g.base + CASE WHEN g.base < 2 AND (d.h < x.e.h OR (d
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_jpeg_media": op2_jpeg_media,
-    "op4_simhash_bktree": op4_simhash_bktree,
-    "op6_source_mixing": op6_source_mixing,
-    "op8_byte_bpe": op8_byte_bpe,
-    "op10_backoff_lm": op10_backoff_lm,
+    f.__name__: f
+    for f in (
+        op1_conv_toxicity,
+        op2_jpeg_media,
+        op3_mincut_text,
+        op4_simhash_bktree,
+        op5_centroid_langid,
+        op6_source_mixing,
+        op7_projection_neardup,
+        op8_byte_bpe,
+        op9_line_dedup,
+        op10_backoff_lm,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_source_mixing": OP6_SQL}

@@ -216,8 +216,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     are in no group: their component_id is null. Repeated keys are rows of their own.
     """
     fps = written(fingerprints(docs, key, text, width), "simhash-fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min(key).alias("rep")), "simhash-nodes")
-    comps = connected_components(links(nodes.where("rep is not null"), radius), "simhash-links")
+    nodes = written(fps.groupBy("fp").agg(F.min(key).alias("rep")), "simhash-nodes", fps.count())
+    comps = connected_components(links(nodes.where("rep is not null"), radius), "simhash-links", nodes.count())
     groups = nodes.join(comps, nodes["rep"] == comps["node"], "left").select(F.col("fp"), F.coalesce("component", "rep").alias("component_id"))
     return fps.join(groups, "fp", "left").select(
         key,
@@ -229,9 +229,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
     """The rows of ``docs`` whose key is the smallest of its group; rows with a null key stay. All columns are kept.
 
-    A row repeated with the same key stays once.
+    Of rows that repeat a key one stays.
     """
     found = near_duplicates(docs, key, text, width, radius)
     leave = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_leave")).distinct()
     rest = docs.join(leave, docs[key] == leave["_leave"], "left_anti")
+    if docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
+        return rest
     return rest.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(rest.where(F.col(key).isNull()))
