@@ -121,7 +121,10 @@ class Model:
         self.langs = sorted({v for v in langs if v is not None})
         if not len(texts):
             return
-        hashes, counts = word_hashes(texts)
+        # in pieces, for hashing takes many times a text's own memory
+        parts = [word_hashes(texts[i : i + 64]) for i in range(0, len(texts), 64)]
+        hashes, counts = (np.concatenate(x) for x in zip(*parts))
+        del parts
         first = np.cumsum(counts) - counts
         lang_of = np.array([self.langs.index(v) if v is not None else -1 for v in langs])
         if self.langs:
