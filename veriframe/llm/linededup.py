@@ -2,7 +2,8 @@
 
 A text's units are its lines, and paragraphs of sentences: from each sentence on, as many as have WINDOW words. A unit
 is normalised (lower case, white space runs to one space) and digested to 128 bits; digests are grouped over all texts,
-the occurrence that ranks first by (key, offset) is kept, and the others' characters are removed. As paragraphs begin at
+the occurrence that ranks first by (key, offset) is kept, and the others' characters are removed. A text's own repeats
+are found in it, so only its distinct digests are grouped. As paragraphs begin at
 each sentence, a passage is found behind whatever precedes it in its line. Offsets are code points of the original text.
 """
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veriframe.llm.common import chunks
+from veriframe.llm.common import chunks, written
 
 #: Lines of fewer words are too short to be told apart from common phrases.
 LINE = 5
@@ -83,48 +84,47 @@ def _halves(h: int) -> tuple[int, int]:
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", line: int = LINE, window: int = WINDOW) -> DataFrame:
-    """(h1, h2, k, at): the halves of each unit's digest, its row's key and its offset."""
+    """(h1, h2, k): the halves of each distinct digest of each row and the row's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, texts in chunks(b, text):
-                row, h1, h2, at = [], [], [], []
+                row, h1, h2 = [], [], []
                 for i, t in enumerate(texts, start):
-                    for a, _, h in units(t, line, window):
+                    for h in {h for _, _, h in units(t, line, window)}:
                         x, y = _halves(h)
                         row.append(i)
                         h1.append(x)
                         h2.append(y)
-                        at.append(a)
-                yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), b.column(0).take(pa.array(row, pa.int64())), pa.array(at, pa.int64())], names=["h1", "h2", "k", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), b.column(0).take(pa.array(row, pa.int64()))], names=["h1", "h2", "k"])
 
-    return docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("k"), F.col(text).alias(text)).mapInArrow(run, "h1 bigint, h2 bigint, k bigint, at bigint")
+    return docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("k"), F.col(text).alias(text)).mapInArrow(run, "h1 bigint, h2 bigint, k bigint")
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", line: int = LINE, window: int = WINDOW) -> DataFrame:
-    """(k, cuts array<struct<at, h1>>): for each key the units that occur earlier.
+    """(k, cuts array<bigint>): for each key the digests (first halves) that a smaller key has too.
 
-    The groups are aggregated before the shuffle, and what comes back of a group is one row; units find their group by
-    an equi-join that adaptive execution may split where one line is everywhere.
+    Groups are aggregated before the shuffle and written, one row for each that repeats. Digests find their group by an
+    equi-join of two shuffled sides, which adaptive execution splits where one line is everywhere.
     """
     found = digests(docs, key, text, line, window)
-    groups = found.groupBy("h1", "h2").agg(F.min(F.struct("k", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", F.col("first.k").alias("k0"), F.col("first.at").alias("at0"))
-    later = found.join(groups, ["h1", "h2"]).where("k <> k0 or at <> at0")
-    return later.groupBy("k").agg(F.collect_set(F.struct("at", "h1")).alias("cuts"))
+    groups = found.groupBy("h1", "h2").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
+    groups = written(groups, "repeated-units", docs.count(), 20_000)
+    return found.join(groups, ["h1", "h2"]).where("k <> first").groupBy("k").agg(F.collect_set("h1").alias("cuts"))
 
 
-def cut(text: str, cuts: set[tuple[int, int]], line: int = LINE, window: int = WINDOW) -> tuple[str, list[tuple[int, int]], int]:
-    """The text without the units of ``cuts`` (offset, first half of the digest), the merged spans removed, all units."""
+def cut(text: str, cuts: set[int], line: int = LINE, window: int = WINDOW) -> tuple[str, list[tuple[int, int]], int]:
+    """The text without the units whose digest is in ``cuts`` or came before in it, the merged spans removed, all units."""
     all_of = units(text, line, window)
     spans: list[list[int]] = []
+    seen: set[int] = set()
     for a, b, h in all_of:
-        if (a, _halves(h)[0]) in cuts:
-            if spans and not text[spans[-1][1] : a].strip():
-                spans[-1][1] = max(spans[-1][1], b)
-            elif spans and a < spans[-1][1]:
+        if h in seen or _halves(h)[0] in cuts:
+            if spans and (a < spans[-1][1] or not text[spans[-1][1] : a].strip()):
                 spans[-1][1] = max(spans[-1][1], b)
             else:
                 spans.append([a, b])
+        seen.add(h)
     kept, at = [], 0
     for a, b in spans:
         kept.append(text[at:a])
@@ -141,8 +141,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", li
 
     n_units: the text's units (lines and paragraphs). spans: array of (start, end), the code points removed from the
     original text, merged and in order. Every row stays, with an empty text if all of it occurs earlier; a null text
-    stays null. Rows with a null key rank first. Rows that share a key and a text are one document and keep the same
-    units; of rows that share a key only, an equal unit at an equal offset is kept in both.
+    stays null. Rows with a null key rank first. Rows that share a key count as one document: each keeps its first
+    occurrence of a unit.
     """
     order = [c for c in docs.columns]
     cuts = repeats(docs, key, text, line, window).withColumnRenamed("k", "_k")
@@ -159,13 +159,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", li
             texts, spans, n = [], [], []
             for i in range(b.num_rows):
                 t = parts[at][i].as_py()
-                wanted = {(c["at"], c["h1"]) for c in b.column(1)[i].as_py() or ()}
-                if t is None:
-                    out = None, [], 0
-                elif wanted:
-                    out = cut(t, wanted, line, window)
-                else:
-                    out = t, [], len(units(t, line, window))
+                out = (None, [], 0) if t is None else cut(t, set(b.column(1)[i].as_py() or ()), line, window)
                 texts.append(out[0])
                 spans.append([{"start": x, "end": y} for x, y in out[1]])
                 n.append(out[2])
