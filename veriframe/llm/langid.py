@@ -111,9 +111,9 @@ class Model:
 
 def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
     """Fits on about ``sample`` rows of each language, chosen by hash; null languages and keys are left out."""
-    have = train.where(F.col(lang).isNotNull() & F.col(key).isNotNull())
-    picked = bounded_sample(have.select(key, lang), [lang], key, sample).select(F.col(key).alias("_k")).distinct()
-    rows = have.join(F.broadcast(picked), have[key] == F.col("_k"), "left_semi").select(have[key].alias("k"), have[text].alias("t"), have[lang].alias("l")).collect()
+    have = train.where(F.col(lang).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    picked = bounded_sample(have.select("k", "l"), ["l"], "k", sample).select("k").distinct()
+    rows = have.join(F.broadcast(picked), "k", "left_semi").collect()
     rows.sort(key=lambda r: (r["k"], r["t"] or ""))
     return Model([r["t"] or "" for r in rows], [r["l"] for r in rows])
 

@@ -142,9 +142,10 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     n_units: the text's units (lines and paragraphs). spans: array of (start, end), the code points removed from the
     original text, merged and in order. Every row stays, with an empty text if all of it occurs earlier; a null text
     stays null. Rows with a null key rank first. Rows that share a key count as one document: each keeps its first
-    occurrence of a unit.
+    occurrence of a unit. Columns that are named like the two new ones are replaced.
     """
-    order = [c for c in docs.columns]
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("n_units", "spans")))
+    order = docs.columns
     cuts = repeats(docs, key, text, line, window).withColumnRenamed("k", "_k")
     rows = docs.select(F.struct(*(docs[c] for c in order)).alias("_row"), F.coalesce(docs[key].cast("bigint"), F.lit(-(1 << 63))).alias("_j"))
     both = rows.join(cuts, rows["_j"] == cuts["_k"], "left").select("_row", "cuts")

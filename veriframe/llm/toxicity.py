@@ -247,7 +247,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     have = listed.join(known, F.col("_id") == F.col("_k")).select("_id", "_lang", "_y")
     picked = bounded_sample(have, ["_lang", "_y"], "_id", sample)
     picked = F.broadcast(picked.groupBy(F.col("_id").alias("_p")).agg(F.max("_y").alias("_y"), F.max("_n").alias("_n")))
-    rows = docs.join(picked, docs[key].cast("bigint") == F.col("_p")).select(F.col("_p"), docs[text].alias("t"), docs[lang].alias("l"), "_y", "_n").collect()
+    narrow = docs.select(F.col(key).cast("bigint").alias("_id"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    rows = narrow.join(picked, F.col("_id") == F.col("_p")).select("_p", "t", "l", "_y", "_n").collect()
     # an order that has nothing to do with the partitions
     rows.sort(key=lambda r: (r["_p"] * 2654435761 % 4294967296, r["_p"], r["t"] or ""))
     texts, langs, toxic = [r["t"] or "" for r in rows], [r["l"] for r in rows], np.array([r["_y"] for r in rows], np.float32)
