@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from veriframe.llm.common import chunks, remainder, written
 
 HOT = 200_000
-GRAMS = 100_000
+GRAMS = 300_000
 #: Entries that a worker counts before it sends them on.
 HELD = 500_000
 #: A kept n-gram's count is this at least.
