@@ -26,42 +26,58 @@ def frequencies(docs: DataFrame, words: Column, key: str = "doc_id") -> DataFram
     return docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """A-19: (term, df, idf, n_docs, avg_len); documents without terms count in n_docs and avg_len."""
+def _restricted(terms_: DataFrame, only: DataFrame | None) -> DataFrame:
+    """Rows whose term a set of terms has; the set is that of a query set of a checked size, so it is broadcast."""
+    return terms_ if only is None else terms_.join(F.broadcast(only), "term", "left_semi")
+
+
+def bm25_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", stop: tuple[str, ...] = STOP_WORDS, only: DataFrame | None = None) -> DataFrame:
+    """A-19: (term, df, idf, n_docs, avg_len); documents without terms count in n_docs and avg_len. only: terms wanted."""
     whole = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(terms(text, stop))).alias("avg_len"))
-    df = docs.select(F.explode(F.array_distinct(terms(text, stop))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = _restricted(docs.select(F.explode(F.array_distinct(terms(text, stop))).alias("term")), only).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.crossJoin(F.broadcast(whole)).withColumn("idf", F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
-def bm25_postings(docs: DataFrame, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """R-03: (term, key, weight): idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg_len))."""
-    tf = docs.select(key, F.size(terms(text, stop)).alias("len"), terms(text, stop).alias("t")).select(key, "len", F.explode("t").alias("term")).groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = bm25_statistics(docs, key, text, stop)
+def bm25_postings(docs: DataFrame, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, stop: tuple[str, ...] = STOP_WORDS, only: DataFrame | None = None) -> DataFrame:
+    """R-03: (term, key, weight): idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg_len)).
+
+    With ``only`` the postings of those terms alone, by the same statistics: what one search needs, without the shuffle
+    of all postings.
+    """
+    each = docs.select(key, terms(text, stop).alias("t")).select(key, F.size("t").alias("len"), F.explode("t").alias("term"))
+    tf = _restricted(each, only).groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    stats = bm25_statistics(docs, key, text, stop, only)
     norm = k1 * (1 - b + b * F.when(F.col("avg_len") > 0, F.col("len") / F.col("avg_len")).otherwise(1.0))
     return tf.join(stats, "term").select("term", key, (F.col("idf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + norm)).alias("weight"))
 
 
-def tfidf_postings(docs: DataFrame, key: str = "doc_id", text: str = "text", features: int = FEATURES, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """R-05: (term, key, weight) of unit rows: (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1) over the ``features`` terms
-    that are most frequent in the corpus (ties: the smaller term)."""
+def tfidf_vocabulary(docs: DataFrame, key: str = "doc_id", text: str = "text", features: int = FEATURES, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+    """(term, idf) of the ``features`` terms that are most frequent in the corpus (ties: the smaller term)."""
     tf = frequencies(docs, ngram_terms(text, stop), key)
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    vocabulary = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("cf"), "term").limit(features)
-    vocabulary = vocabulary.crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = tf.join(vocabulary, "term").withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
+    best = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("cf"), "term").limit(features)
+    return best.crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def _unit(frequencies_: DataFrame, vocabulary: DataFrame, features: int, key: str) -> DataFrame:
+    """(term, key, weight) of rows of length one. A vocabulary of at most FEATURES terms is broadcast (about a megabyte)."""
+    raw = frequencies_.join(F.broadcast(vocabulary) if features <= FEATURES else vocabulary, "term").withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norm, key).select("term", key, (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def tfidf_postings(docs: DataFrame, key: str = "doc_id", text: str = "text", features: int = FEATURES, stop: tuple[str, ...] = STOP_WORDS, only: DataFrame | None = None) -> DataFrame:
+    """R-05: (term, key, weight) of unit rows: (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1) over the vocabulary.
+
+    A row's length needs all its terms, so ``only`` is applied to the result.
+    """
+    out = _unit(frequencies(docs, ngram_terms(text, stop), key), tfidf_vocabulary(docs, key, text, features, stop), features, key)
+    return _restricted(out, only)
+
+
 def tfidf_query(queries: DataFrame, docs: DataFrame, query: str = "query_id", text: str = "query", key: str = "doc_id", doc_text: str = "text", features: int = FEATURES, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """(query, term, weight): queries weighed like documents, by the documents' statistics."""
-    tf = frequencies(docs, ngram_terms(doc_text, stop), key)
-    n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-    vocabulary = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("cf"), "term").limit(features)
-    vocabulary = vocabulary.crossJoin(F.broadcast(n)).select("term", (F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = frequencies(queries, ngram_terms(text, stop), query).join(vocabulary, "term").withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
-    norm = raw.groupBy(query).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, query).select(query, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    return _unit(frequencies(queries, ngram_terms(text, stop), query), tfidf_vocabulary(docs, key, doc_text, features, stop), features, query).select(query, "term", "weight")
 
 
 def bm25_query(queries: DataFrame, query: str = "query_id", text: str = "query", stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
@@ -105,25 +121,29 @@ class Index:
     """An index of one backend: ``postings`` by term and the documents it was built over."""
 
     backend: str
-    postings: DataFrame
+    postings: DataFrame | None  # None: made for each search
     docs: DataFrame
     key: str = "doc_id"
     text: str = "text"
     section: str | None = None
 
-    #: Backends by name; another may be added. Each: postings of documents, weighted terms of queries, scores in [0, 1].
-    backends = {"bm25": (bm25_postings, lambda q, d, **k: bm25_query(q), False), "tfidf": (tfidf_postings, lambda q, d, key, text: tfidf_query(q, d, key=key, doc_text=text), True)}
+    #: Backends by name; another may be added. Each: postings of documents, weighted terms of queries, all terms of
+    #: queries, whether scores are in [0, 1].
+    backends = {
+        "bm25": (bm25_postings, lambda q, d, **k: bm25_query(q), lambda q: terms("query"), False),
+        "tfidf": (tfidf_postings, lambda q, d, key, text: tfidf_query(q, d, key=key, doc_text=text), lambda q: ngram_terms("query"), True),
+    }
 
     @classmethod
     def build(cls, docs: DataFrame, backend: str = "bm25", key: str = "doc_id", text: str = "text", section: str | None = None) -> Index:
         if backend not in cls.backends:
             raise ValueError(f"no backend {backend!r}; there are {sorted(cls.backends)}")
-        return cls(backend, cls.backends[backend][0](docs, key, text), docs, key, text, section)
+        return cls(backend, None, docs, key, text, section)
 
     def save(self, path: str) -> None:
         """S-11: postings and a description, under the backend's name."""
-        spark = self.postings.sparkSession
-        self.postings.write.mode("overwrite").parquet(f"{path}/{self.backend}/postings")
+        spark = self.docs.sparkSession
+        self.backends[self.backend][0](self.docs, self.key, self.text).write.mode("overwrite").parquet(f"{path}/{self.backend}/postings")
         spark.createDataFrame([(self.backend, self.docs.count())], "backend string, n_docs bigint").write.mode("overwrite").parquet(f"{path}/{self.backend}/meta")
 
     @classmethod
@@ -138,7 +158,6 @@ class Index:
         if meta is None or meta["backend"] != backend or meta["n_docs"] != docs.count():
             built = cls.build(docs, backend, **names)
             built.save(path)
-            return built
         return cls(backend, spark.read.parquet(f"{path}/{backend}/postings"), docs, **names)
 
     def scores(self, queries: DataFrame, query: str = "query_id", text: str = "query", hybrid: bool = True) -> DataFrame:
@@ -146,10 +165,14 @@ class Index:
 
         Unbounded scores are divided by the query's peak over all documents before they are blended with the overlap.
         """
-        _, weigh, bounded = self.backends[self.backend]
+        make, weigh, all_terms, bounded = self.backends[self.backend]
         few = queries.count() <= FEW_QUERIES
         q = queries.select(F.col(query).alias("query_id"), F.col(text).alias("query"))
-        s = dot(self.postings, weigh(q, self.docs, key=self.key, text=self.text), "query_id", self.key, few)
+        postings = self.postings
+        if postings is None:
+            only = q.select(F.explode(all_terms(q)).alias("term")).distinct() if few else None
+            postings = make(self.docs, self.key, self.text, only=only)
+        s = dot(postings, weigh(q, self.docs, key=self.key, text=self.text), "query_id", self.key, few)
         if hybrid:
             if not bounded:
                 peak = F.max("score").over(Window.partitionBy("query_id"))
