@@ -36,6 +36,7 @@ def answered(rows: DataFrame, call: Call, schema: str, tasks: int, key: str = "i
     that bills should drop repeats of a key, as a lost task is run again.
     """
     names = [c.strip().split()[0] for c in schema.split(",")]
+    blank = dict.fromkeys(names)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -44,17 +45,17 @@ def answered(rows: DataFrame, call: Call, schema: str, tasks: int, key: str = "i
                 for attempt in range(retries + 1):
                     try:
                         found = call(row)
-                        out += [{key: row[key], "idx": i, "status": "ok", "error": None, **{n: a.get(n) for n in names}} for i, a in enumerate(found)] or [{key: row[key], "idx": -1, "status": "empty", "error": None}]
+                        out += [{key: row[key], "idx": i, "status": "ok", "error": None, **{n: a.get(n) for n in names}} for i, a in enumerate(found)] or [{key: row[key], "idx": -1, "status": "empty", "error": None, **blank}]
                         break
                     except TransientError as e:
                         if attempt < retries:
                             time.sleep(min(e.wait, most_wait))
                             continue
-                        out.append({key: row[key], "idx": -1, "status": "failed", "error": str(e)})
+                        out.append({key: row[key], "idx": -1, "status": "failed", "error": str(e), **blank})
                     except Exception as e:  # noqa: BLE001  the row says what happened
-                        out.append({key: row[key], "idx": -1, "status": "failed", "error": f"{type(e).__name__}: {e}"})
+                        out.append({key: row[key], "idx": -1, "status": "failed", "error": f"{type(e).__name__}: {e}", **blank})
                         break
-            yield pd.DataFrame(out, columns=[key, "idx", "status", "error", *names])
+            yield pd.DataFrame(out, columns=[key, "idx", "status", "error", *names]).astype({n: object for n in ("status", "error")})
 
     kind = rows.schema[key].dataType.simpleString()
     return rows.repartition(tasks, key).mapInPandas(run, f"{key} {kind}, idx int, status string, error string, {schema}")

@@ -189,7 +189,7 @@ def node_id(node: str | Column) -> Column:
 
 def comma_list(text: str | Column) -> Column:
     """F-14: parts between commas, trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(F.coalesce(_col(text), F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(_col(text), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def title_of(text: str | Column, most: int = 90) -> Column:

@@ -179,7 +179,8 @@ def implied_flows(facts: DataFrame, parts: DataFrame) -> DataFrame:
     arrival = lambda group, k="''": F.struct(F.lit(group).alias("g"), "pos", "file", "line", "id", F.expr(k).cast("string").alias("k"))
     asks = place("role_check", "roles").select("*", F.posexplode(list_of("roles")).alias("_k", "role")).join(role, "role")
     pair = F.array(flow(c("role_id"), c("_mount_id"), "request", F.concat("role", F.lit(" requests "), "_mount")), F.when(c("_method") == "GET", flow(c("_mount_id"), c("role_id"), "response", F.concat("_mount", F.lit(" returns data to "), "role"), 1)))
-    asks = asks.select("id", arrival(1, "lpad(_k, 6, '0')").alias("at"), F.explode(F.array_compact(pair)).alias("f"))
+    # names inside other columns of a select with a generator are lost, so these are made first
+    asks = asks.select("id", arrival(1, "lpad(_k, 6, '0')").alias("at"), F.array_compact(pair).alias("pair")).select("id", "at", F.explode("pair").alias("f"))
     access = place("db_access", "collection", "access").join(coll, "collection")
     write = c("access") == "write"
     access = access.select("id", arrival(2).alias("at"), F.when(write, flow(c("_mount_id"), c("collection_id"), "db_write", F.concat("_mount", F.lit(" writes "), "collection"))).otherwise(flow(c("collection_id"), c("_mount_id"), "db_read", F.concat("_mount", F.lit(" reads "), "collection"))).alias("f"))
