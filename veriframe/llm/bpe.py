@@ -202,16 +202,17 @@ def word_tokens(spark: SparkSession, words: DataFrame, path: str, word: str = "w
     Bytes are pairs of hex digits, as maps need strings. A null or empty word has no ids.
     """
     ranks = _rank_map(read_ranks(path))
-    rank = lambda s: F.get(ranks, F.pmod(F.xxhash64(s), F.lit(MAPS)).cast("int"))[s]
-    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    # items are taken by [], as get() evaluates its array more than once
+    rank = lambda s: ranks[F.pmod(F.xxhash64(s), F.lit(MAPS)).cast("int")][s]
+    let = lambda value, f: F.transform(F.array(value), f)[0]
 
     def step(parts: Column, _: Column) -> Column:
-        found = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x, i: F.coalesce(rank(F.concat(x, F.get(parts, i + 1))), F.lit(_NONE)))
+        found = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x, i: F.coalesce(rank(F.concat(x, parts[i + 1])), F.lit(_NONE)))
 
         def merged(found: Column) -> Column:
             least = F.array_min(found)
             at = F.array_position(found, least).cast("int")
-            both = lambda at: F.concat(F.slice(parts, F.lit(1), at - 1), F.array(F.concat(F.get(parts, at - 1), F.get(parts, at))), F.slice(parts, at + 2, F.greatest(F.size(parts) - at - 1, F.lit(0))))
+            both = lambda at: F.concat(F.slice(parts, F.lit(1), at - 1), F.array(F.concat(parts[at - 1], parts[at])), F.slice(parts, at + 2, F.greatest(F.size(parts) - at - 1, F.lit(0))))
             return F.when(least == _NONE, parts).otherwise(let(at, both))
 
         return F.when(F.size(parts) < 2, parts).otherwise(let(found, merged))
