@@ -1,6 +1,6 @@
 """Substring dedup by hashed lines and paragraphs.
 
-A text's units are its lines, and paragraphs of sentences: from each sentence on, as many as have WINDOW words. A unit
+A text's units are its lines, and paragraphs of sentences: from each sentence on, as many as have WINDOW words; long sentences are cut at words that the content picks. A unit
 is normalised (lower case, white space runs to one space) and digested to 128 bits; digests are grouped over all texts,
 the occurrence that ranks first by (key, offset) is kept, and the others' characters are removed. A text's own repeats
 are found in it, so only its distinct digests are grouped. As paragraphs begin at
@@ -10,6 +10,7 @@ each sentence, a passage is found behind whatever precedes it in its line. Offse
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +26,13 @@ LINE = 5
 #: Words of a paragraph, at least.
 WINDOW = 20
 
+#: A sentence of more words is cut behind words that their checksum picks, one in CUT: where a passage stands in text
+#: without full stops, it is cut at the same words.
+LONG = 40
+CUT = 12
+
 _SENTENCE = re.compile(r"[.!?…]+(?=\s)|\n")
+_WORD = re.compile(r"\S+")
 
 
 def units(text: str, line: int = LINE, window: int = WINDOW) -> list[tuple[int, int, int]]:
@@ -34,6 +41,18 @@ def units(text: str, line: int = LINE, window: int = WINDOW) -> list[tuple[int,
     at = 0
 
     def add(a: int, b: int) -> None:
+        piece = text[a:b]
+        w = piece.lower().split()
+        if len(w) > LONG:
+            begin = 0
+            for m in _WORD.finditer(piece):
+                if zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) % CUT == 0 or m.end() == len(piece.rstrip()):
+                    short(a + begin, a + m.end())
+                    begin = m.end()
+        elif w:
+            short(a, b)
+
+    def short(a: int, b: int) -> None:
         piece = text[a:b]
         w = piece.lower().split()
         if w:
