@@ -67,10 +67,22 @@ def audit(gold: DataFrame, crosswalk: DataFrame) -> DataFrame:
     return gold.join(allowed, F.col("id") == F.col("_i"), "left").withColumn("bucket", bucket).drop("_i", "_t")
 
 
+def in_order(rows: DataFrame, order: str, name: str = "n", width: int = 100_000) -> DataFrame:
+    """Rows with their number, from 1, in the order of a whole-number column without repeats.
+
+    Rows are numbered within ranges of ``width`` values and ranges by their counts, so only one row a range meets in a
+    task.
+    """
+    r = rows.withColumn("_range", F.floor(F.col(order) / width))
+    before = r.groupBy("_range").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return r.withColumn("_own", own).join(before, "_range").withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")
+
+
 def first_flows(rows: DataFrame, source: str, dest: str, order: str, prefix: str = "GF") -> DataFrame:
     """Z-12: (id, source, destination, first): one flow for each pair of end points, numbered by the arrival of its first row."""
-    f = rows.groupBy(source, dest).agg(F.min(order).alias("first"))
-    return f.select(F.concat(F.lit(prefix), F.row_number().over(Window.orderBy("first")).cast("string")).alias("id"), F.col(source).alias("source"), F.col(dest).alias("destination"), "first")
+    f = in_order(rows.groupBy(source, dest).agg(F.min(order).alias("first")), "first")
+    return f.select(F.concat(F.lit(prefix), F.col("n").cast("string")).alias("id"), F.col(source).alias("source"), F.col(dest).alias("destination"), "first")
 
 
 def numbered(id_: str | Column) -> Column:
