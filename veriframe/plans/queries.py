@@ -450,13 +450,15 @@ def nearest_ancestor(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 WITH b AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ('the','a','an','to','of','and','or','for','in','on','from','with','by'))) AS t FROM benchmark)
-SELECT x.item_id AS a, y.item_id AS b, round(coalesce(len(list_intersect(x.t, y.t)) / nullif(len(list_distinct(list_concat(x.t, y.t))), 0), 0), 6) AS jaccard FROM b x JOIN b y ON x.item_id < y.item_id
+SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))), 6) AS jaccard FROM b x JOIN b y ON x.item_id < y.item_id WHERE len(list_intersect(x.t, y.t)) > 0
 """)
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """T-07, F-11: pairs of benchmark items."""
+    """T-07, F-11: pairs of benchmark items that share a token, found by an equi-join on tokens."""
     b = load(spark, d, "benchmark").select("item_id", X.align_tokens("text").alias("t"))
-    x, y = b.toDF("a", "x"), b.toDF("b", "y")
-    return x.join(y, F.col("a") < F.col("b")).select("a", "b", F.round(X.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
+    each = b.select("item_id", F.size("t").alias("n"), F.explode("t").alias("token"))
+    x, y = each.toDF("a", "na", "token"), each.toDF("b", "nb", "token")
+    shared = x.join(y, "token").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    return shared.select("a", "b", F.round(F.col("c") / (F.col("na") + F.col("nb") - F.col("c")), 6).alias("jaccard"))
 
 
 @query("""
