@@ -13,6 +13,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,31 +36,30 @@ _SENTENCE = re.compile(r"[.!?…]+(?=\s)|\n")
 _WORD = re.compile(r"\S+")
 
 
-def units(text: str, line: int = LINE, window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """(start, end, 128-bit digest) of each unit of a text, in the order of start; no two are alike."""
+def units(text: str, line: int = LINE, window: int = WINDOW) -> list[tuple[int, int, bytes]]:
+    """(start, end, 16-byte digest) of each unit of a text, in the order of start; no two are alike."""
     starts, ends, norms, words, breaks = [], [], [], [], [0]  # breaks: number of sentences before each line
     at = 0
 
+    def short(a: int, piece: str, w: list[str]) -> None:
+        a += len(piece) - len(piece := piece.lstrip())
+        starts.append(a)
+        ends.append(a + len(piece.rstrip()))
+        norms.append(" ".join(w))
+        words.append(len(w))
+
     def add(a: int, b: int) -> None:
         piece = text[a:b]
         w = piece.lower().split()
-        if len(w) > LONG:
-            begin = 0
+        if 0 < len(w) <= LONG:
+            short(a, piece, w)
+        elif w:
+            begin, last = 0, len(piece.rstrip())
             for m in _WORD.finditer(piece):
-                if zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) % CUT == 0 or m.end() == len(piece.rstrip()):
-                    short(a + begin, a + m.end())
+                if m.end() == last or zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) % CUT == 0:
+                    part = piece[begin : m.end()]
+                    short(a + begin, part, part.lower().split())
                     begin = m.end()
-        elif w:
-            short(a, b)
-
-    def short(a: int, b: int) -> None:
-        piece = text[a:b]
-        w = piece.lower().split()
-        if w:
-            starts.append(a + len(piece) - len(piece.lstrip()))
-            ends.append(a + len(piece.rstrip()))
-            norms.append(" ".join(w))
-            words.append(len(w))
 
     for m in _SENTENCE.finditer(text):
         newline = text[m.start()] == "\n"
@@ -76,8 +76,8 @@ def units(text: str, line: int = LINE, window: int = WINDOW) -> list[tuple[int,
     for x in norms:
         place.append(p)
         p += len(x) + 1
-    digest = xxhash.xxh3_128_intdigest
-    found: dict[tuple[int, int], int] = {}
+    digest = xxhash.xxh3_128_digest
+    found: dict[tuple[int, int], bytes] = {}
     for i, j in zip(breaks, breaks[1:]):
         if sum(words[i:j]) >= line:
             found[i, j] = digest(joined[place[i] : place[j - 1] + len(norms[j - 1])].encode("utf-8", "surrogatepass"))
@@ -94,28 +94,19 @@ def units(text: str, line: int = LINE, window: int = WINDOW) -> list[tuple[int,
     return [(starts[i], ends[j - 1], h) for (i, j), h in sorted(found.items())]
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def _halves(h: int) -> tuple[int, int]:
-    return _signed(h >> 64), _signed(h & ((1 << 64) - 1))
-
-
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", line: int = LINE, window: int = WINDOW) -> DataFrame:
     """(h1, h2, k): the halves of each distinct digest of each row and the row's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, texts in chunks(b, text):
-                row, h1, h2 = [], [], []
+                row, found = [], []
                 for i, t in enumerate(texts, start):
-                    for h in {h for _, _, h in units(t, line, window)}:
-                        x, y = _halves(h)
-                        row.append(i)
-                        h1.append(x)
-                        h2.append(y)
-                yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), b.column(0).take(pa.array(row, pa.int64()))], names=["h1", "h2", "k"])
+                    own = {h for _, _, h in units(t, line, window)}
+                    row += [i] * len(own)
+                    found += own
+                h = np.frombuffer(b"".join(found), ">i8").astype(np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), b.column(0).take(pa.array(row, pa.int64()))], names=["h1", "h2", "k"])
 
     return docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("k"), F.col(text).alias(text)).mapInArrow(run, "h1 bigint, h2 bigint, k bigint")
 
@@ -123,22 +114,27 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", line: int
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", line: int = LINE, window: int = WINDOW) -> DataFrame:
     """(k, cuts array<bigint>): for each key the digests (first halves) that a smaller key has too.
 
-    Groups are aggregated before the shuffle and written, one row for each that repeats. Digests find their group by an
-    equi-join of two shuffled sides, which adaptive execution splits where one line is everywhere.
+    Digests are written, as they are read twice. Groups are aggregated before the shuffle and written, one row for each
+    that repeats. Digests find their group by an equi-join of two shuffled sides, which adaptive execution splits where
+    one line is everywhere.
     """
-    found = digests(docs, key, text, line, window)
+    found = written(digests(docs, key, text, line, window), "units")
     groups = found.groupBy("h1", "h2").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
     groups = written(groups, "repeated-units", docs.count(), 20_000)
     return found.join(groups, ["h1", "h2"]).where("k <> first").groupBy("k").agg(F.collect_set("h1").alias("cuts"))
 
 
 def cut(text: str, cuts: set[int], line: int = LINE, window: int = WINDOW) -> tuple[str, list[tuple[int, int]], int]:
-    """The text without the units whose digest is in ``cuts`` or came before in it, the merged spans removed, all units."""
+    """The text without the units whose digest is in ``cuts`` or came before in it, the merged spans removed, all units.
+
+    cuts: first halves of digests, as signed numbers.
+    """
+    drop = {x.to_bytes(8, "big", signed=True) for x in cuts}
     all_of = units(text, line, window)
     spans: list[list[int]] = []
-    seen: set[int] = set()
+    seen: set[bytes] = set()
     for a, b, h in all_of:
-        if h in seen or _halves(h)[0] in cuts:
+        if h in seen or h[:8] in drop:
             if spans and (a < spans[-1][1] or not text[spans[-1][1] : a].strip()):
                 spans[-1][1] = max(spans[-1][1], b)
             else:
