@@ -416,7 +416,7 @@ def brute_dedup(rows):
     for i, t in sorted(rows, key=lambda x: -1 if x[0] is None else x[0]):
         for _, _, h in linededup.units(t or ""):
             first.setdefault(h, i)
-    return {i: linededup.cut(t, {linededup._halves(h)[0] for _, _, h in linededup.units(t) if first[h] != i})[0] for i, t in rows if t is not None}
+    return {i: linededup.cut(t, {int.from_bytes(h[:8], "big", signed=True) for _, _, h in linededup.units(t) if first[h] != i})[0] for i, t in rows if t is not None}
 
 
 def test_repeats_against_a_table_of_units(documents):
