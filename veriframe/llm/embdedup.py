@@ -155,7 +155,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     placed = grouped.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")), lambda o: F.struct(F.least(o, F.col("block")).alias("one"), F.greatest(o, F.col("block")).alias("two")))
     spread = placed.select("component", "id", "copies", "vector", "block", F.explode(pairs).alias("p")).select("component", "id", "copies", "vector", "block", "p.one", "p.two")
-    counts = spread.groupBy("component", "one", "two").applyInPandas(lambda pdf: _counted(pdf, least), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    # dealt by the pair of blocks: a large group's pairs would otherwise meet where its component does
+    counts = spread.repartition("component", "one", "two").groupBy("component", "one", "two").applyInPandas(lambda pdf: _counted(pdf, least), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     of_vector = distinct.join(counts, "id", "left").join(comps, "id", "left")
     of_vector = of_vector.select("id", F.col("label").alias("_l"), F.col("vector").alias("_v"), "hash", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     wide = rows.withColumn("_u", F.col("key").isNotNull() & F.col("label").isNotNull() & _usable("vector"))
