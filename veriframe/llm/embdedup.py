@@ -150,9 +150,11 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     distinct = written(distinct.withColumn("dims", F.size("vector")).withColumn("hash", F.xxhash64("label", "vector")), "embedding-vectors", vectors.count(), 100_000)
     comps = connected_components(candidates(distinct, least, passes, width), "embedding-links", distinct.count())
     comps = comps.withColumnRenamed("node", "id")
-    grouped = distinct.join(comps.union(comps.select("component", "component").distinct().toDF("id", "component")).distinct(), "id")
-    sizes = grouped.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    placed = grouped.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # members and sizes are tables, so their join is of plain sides: broadcast where sizes are small, else split if skewed
+    nodes = distinct.count()
+    members = written(comps.union(comps.select("component", "component").distinct().toDF("id", "component")).distinct(), "embedding-members", nodes)
+    sizes = written(members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "embedding-sizes", nodes)
+    placed = distinct.join(members.join(sizes, "component"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")), lambda o: F.struct(F.least(o, F.col("block")).alias("one"), F.greatest(o, F.col("block")).alias("two")))
     spread = placed.select("component", "id", "copies", "vector", "block", F.explode(pairs).alias("p")).select("component", "id", "copies", "vector", "block", "p.one", "p.two")
     # dealt by the pair of blocks: a large group's pairs would otherwise meet where its component does
