@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.llm import bpe, linededup, mixing, simhash, toxicity
+from veriframe.llm import bpe, jaccard, linededup, mixing, toxicity
 from veriframe.llm.common import table, written
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -21,7 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    """Near duplicates share 0.8 or more of their five-word shingles; ``op4``'s shingles and radius are its own."""
+    return jaccard.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,180 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands give candidates, exact sets decide.
+
+A text's set holds the 64-bit hashes of its runs of WIDTH words. Of 200 minima, five make the key of a band; 40 bands.
+Two sets of similarity s share a band with probability 1 - (1 - s^5)^40: at 0.8 one pair in eight million meets in none,
+above 0.8 fewer. Every pair of a band that is not connected already is compared by its whole sets, whatever the band's
+size: first neighbours in the order of size, which connects a group of m near copies with about m pairs, then all pairs
+of a band between different components, in one task a band. That work grows with the square of a band of texts that are
+not linked. Texts with equal sets count once, so exact copies give no pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from veriframe.llm.common import chunks, connected_components, written
+from veriframe.llm.simhash import _LOWER, without
+
+WIDTH = 5
+ALIKE = 0.8
+BANDS = 40
+ROWS = 5
+
+_r = np.random.Generator(np.random.PCG64(42))
+_TIMES = _r.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _r.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+_MIX = _r.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
+    """The distinct hashes of the text's shingles, sorted; words and short texts as in ``simhash.fingerprints_of``."""
+    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    h, buf = xxhash.xxh64_intdigest, b" ".join(words)
+    if len(words) <= width:
+        return np.array([h(buf)], np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths + 1) - 1
+    s, e = (ends - lengths)[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
+    return np.unique(np.array([h(buf[i:j]) for i, j in zip(s, e)], np.uint64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; two empty sets are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def band_keys(x: np.ndarray) -> np.ndarray:
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(x), 256):
+        np.minimum(least, (x[a : a + 256, None] * _TIMES + _PLUS).min(0), out=least)
+    return (least.reshape(BANDS, ROWS) * _MIX).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, d1, d2, n, bands) of every row with a key: digest and size of the set, and its keys (none if it is empty)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, texts in chunks(b, text):
+                sets = [shingle_set(t) for t in texts]
+                d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), ">i8").astype(np.int64).reshape(-1, 2)
+                keys = pa.array([band_keys(x).tolist() if len(x) else [] for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([len(x) for x in sets], pa.int64()), keys], names=["k", "d1", "d2", "n", "bands"])
+
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias(text))
+    return rows.mapInArrow(run, "k bigint, d1 bigint, d2 bigint, n bigint, bands array<bigint>")
+
+
+def _fit(a: str, b: str) -> Column:
+    """Sets of these sizes can be alike."""
+    return F.least(a, b) >= F.greatest(a, b) * ALIKE
+
+
+def _texts(asked: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(k, t): the different texts of the keys ``asked``."""
+    texts = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).join(asked, "k", "left_semi")
+    return written(texts.withColumn("h", F.xxhash64("t")).dropDuplicates(["k", "h"]).select("k", "t"), "jaccard-texts")
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The (a, b) of ``pairs`` whose texts' sets are alike. Of keys that repeat, any text will do."""
+    texts = _texts(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct(), docs, key, text)
+    both = pairs.join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lru_cache(maxsize=256)(shingle_set)
+        for b in batches:
+            ok = [jaccard(of(b.column(2)[i].as_py() or ""), of(b.column(3)[i].as_py() or "")) >= ALIKE for i in range(b.num_rows)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """(a, b): the pairs of a bucket with different components whose sets are alike.
+
+    ``rows``: (key, component, k, t). A set goes to each of its buckets once, not to each pair.
+    """
+    rows = rows.select("key", "component", "k", "t").repartition("key").sortWithinPartitions("key", "component")
+
+    def linked(held: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+        comp = np.array([c for c, _, _ in held], np.int64)
+        if len(held) < 2 or comp[0] == comp[-1]:
+            return []
+        sizes = np.array([len(x) for _, _, x in held], np.int64)
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        flat = np.unique(np.concatenate([x for _, _, x in held]), return_inverse=True)[1]
+        mark, out = np.zeros(int(flat.max()) + 1, np.int32), []
+        for i in range(len(held)):
+            later = int(np.searchsorted(comp, comp[i], "right"))
+            if later == len(held):
+                break
+            own = flat[starts[i] : starts[i + 1]]
+            mark[own] = 1
+            both = np.add.reduceat(mark[flat[starts[later] :]], starts[later:-1] - starts[later])
+            mark[own] = 0
+            for j in np.flatnonzero(both >= ALIKE * (sizes[i] + sizes[later:] - both)).tolist():
+                out.append((held[i][1], held[later + j][1]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole() -> Iterator[pa.RecordBatch]:
+            got = linked(held)
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["a", "b"])
+
+        of = lru_cache(maxsize=256)(shingle_set)
+        held: list[tuple[int, int, np.ndarray]] = []
+        at = None
+        for b in batches:
+            for i in range(b.num_rows):
+                key = b.column(0)[i].as_py()
+                if key != at:
+                    yield from whole()
+                    held, at = [], key
+                x = of(b.column(3)[i].as_py() or "")
+                if len(x):
+                    held.append((b.column(1)[i].as_py(), b.column(2)[i].as_py(), x))
+        yield from whole()
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(node, component): the smallest key that links of similarity ALIKE or more reach, for each key that has a link.
+
+    Texts with equal sets are linked, blank and null ones too. Rows with a null key are in no group.
+    """
+    found = written(signatures(docs, key, text), "jaccard-signatures")
+    first = written(found.groupBy("d1", "d2").agg(F.min("k").alias("rep")), "jaccard-sets", found.count())
+    copies = found.select("k", "d1", "d2").join(first, ["d1", "d2"]).where("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
+    heads = found.join(first.withColumnRenamed("rep", "k"), ["d1", "d2", "k"]).select("k", "n", F.explode("bands").alias("key"))
+    at = Window.partitionBy("key").orderBy("n", "k")
+    of = heads.withColumn("pk", F.lag("k").over(at)).withColumn("pn", F.lag("n").over(at)).withColumn("more", F.lead("k").over(at).isNotNull())
+    buckets = written(of.where(F.col("pk").isNotNull() | F.col("more")).drop("more"), "jaccard-buckets")
+    near = buckets.where(F.col("pk") != F.col("k")).where(_fit("n", "pn")).select(F.least("k", "pk").alias("a"), F.greatest("k", "pk").alias("b"))
+    near = written(near.distinct(), "jaccard-neighbours")
+    links = written(_alike(near, docs, key, text), "jaccard-links")
+    known = connected_components(links, "jaccard-components").withColumnRenamed("node", "k")
+    rows = written(buckets.select("key", "k").join(known, "k", "left").withColumn("component", F.coalesce("component", "k")), "jaccard-rows")
+    mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    rows = rows.join(mixed, "key", "left_semi")
+    more = written(_across(rows.join(_texts(rows.select("k").distinct(), docs, key, text), "k")).distinct(), "jaccard-across")
+    links = links.union(more).union(copies)
+    return connected_components(links, "jaccard-links")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose key is the smallest of its group; else as ``simhash.one_of_each``."""
+    leave = components(docs, key, text).where("node <> component").select(F.col("node").alias("_leave"))
+    return without(docs, leave, key)

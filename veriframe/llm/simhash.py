@@ -232,7 +232,11 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     Of rows that repeat a key one stays.
     """
     found = near_duplicates(docs, key, text, width, radius)
-    leave = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_leave")).distinct()
+    return without(docs, found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_leave")).distinct(), key)
+
+
+def without(docs: DataFrame, leave: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not in ``leave`` (_leave), one of each key; rows with a null key stay."""
     rest = docs.join(leave, docs[key] == leave["_leave"], "left_anti")
     if docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
         return rest
