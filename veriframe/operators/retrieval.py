@@ -196,12 +196,12 @@ def keep(source: str | None = None, exclude_kinds: list[str | None] | None = Non
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """R-06: the k vectors with the largest cosine to each query vector, (query_id, key, score, rank).
 
-    A stated query set against all rows: the queries, of a checked number, are broadcast.
+    A stated query set against all rows: up to FEW_QUERIES queries are broadcast, more meet the rows partition by
+    partition.
     """
-    if queries.count() > FEW_QUERIES:
-        raise ValueError(f"over {FEW_QUERIES} query vectors; search in blocks of queries")
     d = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    q = F.broadcast(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_q")))
+    q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_q"))
+    q = F.broadcast(q) if queries.count() <= FEW_QUERIES else q.hint("shuffle_replicate_nl")
     norm = F.sqrt(d(F.col(vector), F.col(vector))) * F.sqrt(d(F.col("_q"), F.col("_q")))
     s = vectors.crossJoin(q).select("query_id", key, F.when(norm > 0, d(F.col(vector), F.col("_q")) / norm).otherwise(0.0).alias("score"))
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), key))).where(F.col("rank") <= k)
