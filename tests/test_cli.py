@@ -3,7 +3,7 @@
 import json
 
 import pytest
-from test_operators import FACTS
+from code_facts import FACTS
 
 from veriframe import cli
 
