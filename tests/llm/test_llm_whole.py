@@ -52,15 +52,3 @@ def test_pipeline_drops_near_copies_from_0_8(spark, documents):
     got = [x["doc_id"] for x in out.select("doc_id").collect()]
     assert sorted(i for i in got if i is not None) == [i for i in ids if find(i) == i]
     assert got.count(None) == 1
-
-
-def test_cosine_of_more_queries_than_are_broadcast(spark, monkeypatch):
-    from veriframe.operators import retrieval
-
-    r = random.Random(6)
-    vectors = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(60)], "vec_id bigint, embedding array<double>").repartition(3)
-    queries = vectors.where("vec_id % 3 = 0")
-    found = lambda: sorted(tuple(x) for x in retrieval.cosine_top_k(vectors, queries).collect())
-    few = found()
-    monkeypatch.setattr(retrieval, "FEW_QUERIES", 5)
-    assert len(few) == 100 and found() == few
