@@ -461,62 +461,90 @@ def test_repeats_odd_rows(odd, nothing):
 # 10 language model
 
 
-def test_scores_add_up_to_one():
-    """Over all words and the unseen class, from every state."""
-    r = random.Random(2)
-    texts = [[r.randrange(2, 9) for _ in range(r.randrange(1, 12))] + [1] for _ in range(300)]
-    counts = [0] * 9
-    two, three = Counter(), Counter()
+def plain_automaton(texts, strength=(1000.0, 10.0)):
+    """A backoff automaton in dicts, and a walk through it: (probability of a word after words, score of a text)."""
+    grams = Counter()
     for t in texts:
-        for w in t:
-            counts[w] += 1
-        s = [0, *t]
-        two.update(a << 18 | b for a, b in zip(s, s[1:]))
-        three.update((a << 18 | b) << 18 | c for a, b, c in zip(s, s[1:], s[2:]))
-    two = {g: n for g, n in two.items() if n >= 5}
-    three = {g: n for g, n in three.items() if n >= 5 and g >> 18 in two and g & ((1 << 36) - 1) in two}
-    total, d = sum(counts), 0.5
-    m = ngramlm.Automaton(counts, total, d, two, three)
-    unseen = d * sum(c > 0 for c in counts) / total
-    for state in range(len(m.fail)):
-        mass, s, back = 0.0, state, 0.0
-        for w in range(1, 9):
-            s, back = state, 0.0
-            while (hit := m.arcs.get(s << 18 | w)) is None and s:
-                back += m.weight[s]
-                s = m.fail[s]
-            mass += 10 ** (back + hit[0])
-        s, back = state, 0.0
-        while s:
-            back += m.weight[s]
-            s = m.fail[s]
-        assert math.isclose(mass + 10**back * unseen, 1.0, rel_tol=1e-6), state
-
-
-def test_scores_against_counts(documents):
+        w = ["<s>", *t.encode().lower().split(), b""]
+        for n in (1, 2, 3):
+            grams.update(tuple(w[i : i + n]) for i in range(len(w) - n + 1) if n > 1 or i)
+    total, words = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+    seen = lambda h: len(texts) if h == ("<s>",) else grams[h]
+
+    def probability(h, w):
+        if not h:
+            return (grams[(w,)] + 1) / (total + words + 1)
+        m = strength[len(h) - 1]
+        lower = probability(h[1:], w)
+        if not seen(h):
+            return lower
+        return (grams[(*h, w)] + m * lower) / (seen(h) + m)
+
+    def score(t):
+        state, out = ("<s>",), 0.0
+        for w in [*t.encode().lower().split(), b""]:
+            out += math.log10(probability(state, w))
+            state = (*state, w)[-2:]
+        return out
+
+    return grams, probability, score
+
+
+def test_scores_against_a_plain_automaton(documents, monkeypatch):
     r = random.Random(12)
     rows = [(i, prose(r, r.randrange(1, 50)) + f" once upon a time rare{i % 40} rarer{i}") for i in range(250)]
-    got = by_id(ngramlm.scores(documents(rows)))
+    rows += [(1000 + i, rows[i][1]) for i in range(20)] + [(2000, ""), (2001, "one"), (2002, "x y " * 500)]
     held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
-    c = Counter(w for i, t in rows if i not in held for w in ngramlm.tokens(t))
+    learnt = [t for i, t in rows if i not in held]
+    _, _, score = plain_automaton(learnt)
+    c = Counter(w for t in learnt for w in ngramlm.tokens(t))
     n, v = sum(c.values()), len(c)
-    for i, t in rows:
-        ws, g = ngramlm.tokens(t), got[i]
-        assert (g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"]) == (i in held, len(ws), sum(c[w] > 0 for w in ws), n)
-        assert math.isclose(g["base_score"], sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
-        assert g["score"] < 0
-    assert sum(got[i]["score"] for i in held) > sum(got[i]["base_score"] for i in held)
-
-
-def test_scores_with_cold_words(documents, monkeypatch):
-    """The join of words that are not hot gives the same scores as having all of them hot."""
-    r = random.Random(13)
-    docs = documents([(i, prose(r, 30) + f" x{i % 7} y{i}") for i in range(80)])
-    monkeypatch.setattr(ngramlm, "GRAMS", 1)  # no n-grams, so that both are unigram models
-    hot = by_id(ngramlm.scores(docs))
-    monkeypatch.setattr(ngramlm, "HOT", 20)
-    cold = by_id(ngramlm.scores(docs))
-    assert all(math.isclose(hot[i]["score"], cold[i]["score"], rel_tol=1e-9) and math.isclose(hot[i]["base_score"], cold[i]["base_score"], rel_tol=1e-9) and hot[i]["n_known"] == cold[i]["n_known"] for i in hot)
+    for block, ranges in ((16_000_000, 6_000_000), (3000, 4000)):  # one block and range, and many
+        monkeypatch.setattr(ngramlm, "BLOCK", block)
+        monkeypatch.setattr(ngramlm, "RANGE", ranges)
+        got = by_id(ngramlm.scores(documents(rows).repartition(3)))
+        assert len(got) == len(rows)
+        for i, t in rows:
+            ws, g = ngramlm.tokens(t), got[i]
+            assert (g["held_out"], g["n_tokens"], g["n_known"], g["train_tokens"]) == (i in held, len(ws), sum(c[w] > 0 for w in ws), n)
+            assert math.isclose(g["base_score"], sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
+            assert math.isclose(g["score"], score(t), rel_tol=1e-9)
+
+
+def test_probabilities_of_a_state_add_up_to_one():
+    r = random.Random(2)
+    grams, probability, _ = plain_automaton([prose(r, r.randrange(1, 12)) for _ in range(100)])
+    words = [g[0] for g in grams if len(g) == 1]
+    for h in [(), ("<s>",), *r.sample([g for g in grams if 0 < len(g) < 3 and g[-1] != b""], 20)]:
+        assert math.isclose(sum(probability(h, w) for w in words) + probability(h, b"never seen"), 1.0, rel_tol=1e-9)
+
+
+def test_random_words_score_below_text(documents):
+    r = random.Random(5)
+    rows = [(i, prose(r, 40)) for i in range(400)]
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2]
+    noise = [i for i in range(10_000, 10_300) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows += [(i, " ".join("".join(r.choices("abcdefghijklmnop", k=7)) for _ in range(40))) for i in noise]
+    got = by_id(ngramlm.scores(documents(rows)))
+    each = lambda ids: [got[i]["score"] / got[i]["n_tokens"] for i in ids]
+    assert max(each(noise)) < min(each(held))
+
+
+def test_texts_that_occur_twice_score_above(documents):
+    r = random.Random(6)
+    rows = [(i, " ".join(f"w{r.randrange(3000)}" for _ in range(60))) for i in range(600)]
+    rows += [(5000 + i, rows[i][1]) for i in range(30)]
+    got = by_id(ngramlm.scores(documents(rows)))
+    learnt = lambda i: not got[i]["held_out"]
+    twice = [got[i]["score"] for i in range(30) if learnt(i) and learnt(5000 + i)]
+    once = [got[i]["score"] for i in range(30, 600) if learnt(i)]
+    assert min(twice) > max(once)
+
+
+def test_count_packing():
+    for a in ([], [0], [1, 2, 1 << 63], list(range(1000))):
+        x = np.array(a, np.uint64)
+        assert ngramlm._unpack(b"..." + ngramlm._pack(x), 3)[0].tolist() == a
 
 
 def test_scores_odd_rows(odd, nothing):

@@ -43,7 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[app]
 
 
-def written(df: DataFrame, name: str, rows: int | None = None, per_file: int = 1_000_000) -> DataFrame:
+def written(df: DataFrame, name: str, rows: int | None = None, per_file: int = 1_000_000, compression: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
 
     ``rows``: at most so many rows are to be written; the table then has a file for each ``per_file`` of them, so that
@@ -53,7 +53,7 @@ def written(df: DataFrame, name: str, rows: int | None = None, per_file: int = 1
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // per_file)))
     path = f"{shared_folder(spark).rstrip('/')}/veriframe/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

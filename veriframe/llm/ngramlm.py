@@ -1,39 +1,46 @@
 """Language-model scores by a weighted backoff automaton.
 
-Words are counted over all training texts. Those with at least 1/HOT of all tokens, of which there can be HOT at most,
-are the hot words; n-grams of hot words with at least 1/GRAMS of all tokens, at most GRAMS of each order, are kept. The
-kept n-grams' contexts are the automaton's states. An arc of a state has the discounted probability of a word after its
-context; the failure arc leads to the next shorter context, with the weight that makes the state's probabilities add up
-to one. The root has an arc for every word seen in training and one for all words that were not. The arcs of the root
-for words that aren't hot stay in the table of counts and are joined to the tokens by word; no such word has more than
-1/HOT of the tokens, so no key of that join is hot. Everything that is sent to all workers has a bound that does not
-depend on the input.
+Every n-gram of up to ORDER tokens that occurs in a training text is kept, whatever its count and the corpus's size. The
+n-grams that tokens follow are the automaton's states. An arc of a state leads by a word that was seen after it, with
+the smoothed probability (c(hw) + M * P(w | shorter)) / (c(h) + M); the failure arc leads to the next shorter context
+with the weight M / (c(h) + M), so each state's probabilities add up to one. The root has an arc for each word, with the
+probability (c + 1) / (N + V + 1), and one, with count 0, for a word that was never seen.
+
+The automaton is never in one place. Texts are dealt into blocks of bounded size. A block names its distinct n-grams by
+sorted hashes, in one piece for each range of hashes; a range adds up what all blocks count in it and answers each piece
+with the totals, in the piece's order. The block's texts then meet the part of the automaton that they can traverse. What
+is exchanged grows with the distinct n-grams of the blocks, whatever is frequent in them, and no key is hot.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import chunks, remainder, written
-
-HOT = 200_000
-GRAMS = 300_000
-#: Entries that a worker counts before it sends them on.
-HELD = 500_000
-#: A kept n-gram's count is this at least.
-SEEN = 2
+from veriframe.llm.common import remainder, written
+
+ORDER = 3
+#: M of each order from the second on: what the shorter context counts for.
+STRENGTH = (1000.0, 10.0)
+#: Bytes of text of a block, or one longer text.
+BLOCK = 16_000_000
+#: Hashes that a range adds up, about.
+RANGE = 6_000_000
+#: Bits of a hash beyond those that number the corpus's bytes: one n-gram in a million shares its hash with another.
+SPARE = 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The end of a text, counted as a token; no word is empty.
 END = b""
-_BITS = 18
-_START = 0  # the number of the beginning of a text, which is a context only
+#: The context that a text begins with.
+_START = np.uint64(0x9E3779B97F4A7C15)
+_ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 def tokens(text: str) -> list[bytes]:
@@ -43,228 +50,226 @@ def tokens(text: str) -> list[bytes]:
     return words
 
 
-class _Numbers(dict):
+class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        return -1
+        if len(self) >= 300_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
 
 
-def _texts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[str]:
-    for b in batches:
-        for _, part in chunks(b, text):
-            yield from part
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of what ``a`` and ``b`` are hashes of, in this order."""
+    x = a * np.uint64(0xFF51AFD7ED558CCD) + b * np.uint64(0xC4CEB9FE1A85EC53) + np.uint64(1)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
 
-def word_counts(train: DataFrame, text: str) -> DataFrame:
-    """(w binary, c): how often each word, and the end, occurs."""
+def grams(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each order the hash of the n-gram that ends at each token, and the number of tokens of each text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+    The first n-gram of a text begins with the start; a token without so long an n-gram has the hash 0.
+    """
+    of = _Hashes().__getitem__
+    parts = [np.fromiter(map(of, tokens(t)), np.uint64) for t in texts]
+    counts = np.array([len(p) for p in parts], np.int64)
+    first = np.cumsum(counts) - counts
+    out = [np.concatenate(parts) if parts else np.zeros(0, np.uint64)]
+    word = out[0]
+    context = np.empty_like(word)  # hash of the n - 1 tokens before each token
+    for n in range(2, order + 1):
+        context[1:] = out[-1][:-1]
+        context[first] = _START if n == 2 else 0
+        gram = _joined(context, word)
+        for k in range(n - 2):  # tokens too near the beginning
+            gram[(first + k)[counts > k]] = 0
+        out.append(gram)
+    return out, counts
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["w", "n"])
 
-        for t in _texts(batches, text):
-            held.update(tokens(t))
-            if len(held) >= HELD:
-                yield out()
-                held.clear()
-        if held:
-            yield out()
+def _pack(a: np.ndarray) -> bytes:
+    """Numbers with their bytes of equal weight together, compressed."""
+    body = _ZSTD.compress(np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
+    return struct.pack("<II", len(a), len(body)) + body
 
-    return train.select(F.col(text).alias(text)).mapInArrow(run, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("c"))
 
+def _unpack(data: bytes, at: int) -> tuple[np.ndarray, int]:
+    n, size = struct.unpack_from("<II", data, at)
+    at += 8
+    raw = _ZSTD.decompress(data[at : at + size], 8 * n, asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view("<u8").ravel(), at + size
 
-def _gram_counts(train: DataFrame, text: str, order: int, numbers, kept, least: float) -> dict[int, int]:
-    """Counts of the n-grams of numbered words with ``least`` occurrences or more; keys hold 18 bits a word.
 
-    Of the third order only those whose two bigrams are kept, as no other can be frequent enough.
-    """
+def _keys(hashes: np.ndarray, number: int, bits: int) -> np.ndarray:
+    """What stands for n-grams in exchanges: words by their whole hash, others by its leading bits."""
+    return hashes if number == 0 else hashes >> np.uint64(64 - bits)
+
+
+def _ranges(keys: np.ndarray, number: int, bits: int, ranges: int) -> np.ndarray:
+    """Where each range begins in sorted keys, and the end."""
+    top = keys >> np.uint64((64 if number == 0 else bits) - 31)
+    return np.searchsorted(top, np.array([-(-(r << 31) // ranges) for r in range(ranges + 1)], np.uint64))
+
+
+def blocks(docs: DataFrame, key: str, text: str, held: F.Column) -> DataFrame:
+    """(k, t, held, size, block) of every row: texts in blocks of BLOCK bytes or one longer text, written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = numbers.value.__getitem__
-        pairs = kept.value if order == 3 else None
-        held: dict[int, int] = {}
-        wait: list[np.ndarray] = []
-        size = 0
-
-        def fold() -> None:
-            if wait:
-                keys, n = np.unique(np.concatenate(wait), return_counts=True)
-                for k, c in zip(keys.tolist(), n.tolist()):
-                    held[k] = held.get(k, 0) + c
-                wait.clear()
-
-        def out() -> pa.RecordBatch:
-            r = pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["g", "n"])
-            held.clear()
-            return r
-
-        for t in _texts(batches, text):
-            ids = np.array([_START, *map(number, tokens(t))], np.int64)
-            ok = ids >= 0
-            two, fine = ids[:-1] << _BITS | ids[1:], ok[:-1] & ok[1:]
-            if order == 2:
-                got = two[fine]
-            else:
-                at = np.searchsorted(pairs, two)
-                fine &= pairs[np.minimum(at, len(pairs) - 1)] == two
-                got = (two[:-1] << _BITS | ids[2:])[fine[:-1] & fine[1:]]
-            wait.append(got)
-            size += len(got)
-            if size >= 1_000_000:
-                fold()
-                size = 0
-                if len(held) >= HELD:
-                    yield out()
-        fold()
-        if held:
-            yield out()
+        number, full = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            at = []
+            for size in b.column(3).to_pylist():
+                if full and full + size > BLOCK:
+                    number, full = number + 1, 0
+                full += size
+                at.append(number)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int64())], names=["k", "t", "held", "size", "block"])
+
+    rows = docs.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), held.alias("held"))
+    rows = rows.withColumn("size", F.octet_length("t").cast("bigint") + 1)
+    return written(rows.mapInArrow(run, "k bigint, t string, held boolean, size bigint, block bigint"), "lm-texts", compression="zstd")
+
+
+def counted(texts: DataFrame, order: int, ranges: int, bits: int) -> DataFrame:
+    """(block, part, n, v, data): for each block and range of hashes, the training counts of the block's n-grams.
+
+    Packed by order, in the order of the hashes. n and v: training tokens and distinct words of a range, in rows of
+    their own (block null).
+    """
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[str, bool]] = []
+        block = None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            found, lengths = grams([t for t, _ in held], order)
+            learnt = np.repeat(np.array([not h for _, h in held]), lengths)
+            parts: list[list[bytes]] = [[] for _ in range(ranges)]
+            while found:
+                number, h = order - len(found), found.pop(0)
+                use = h != 0 if number > 1 else slice(None)
+                keys, at = np.unique(_keys(h[use], number, bits), return_inverse=True)
+                n = np.bincount(at[learnt[use]], minlength=len(keys)).astype(np.uint64)
+                bounds = _ranges(keys, number, bits, ranges).tolist()
+                for p, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                    parts[p] += [_pack(np.diff(keys[a:b], prepend=np.uint64(0))), _pack(n[a:b])]
+            for i in range(0, ranges, 64):
+                some = range(i, min(i + 64, ranges))
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([b"".join(parts[p]) for p in some], pa.binary())], names=["block", "part", "data"])
 
-    counted = train.select(F.col(text).alias(text)).mapInArrow(run, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return {r["g"]: r["n"] for r in counted.collect()}
+        for b in batches:
+            for i in range(b.num_rows):
+                now = b.column(2)[i].as_py()
+                if now != block:
+                    if held:
+                        yield from out()
+                    held, block = [], now
+                held.append((b.column(0)[i].as_py(), b.column(1)[i].as_py()))
+        if held:
+            yield from out()
+
+    def added(rows: pa.Table) -> pa.Table:
+        part, pieces_of = rows.column("part")[0].as_py(), {}
+        for b, d in zip(rows.column("block").to_pylist(), rows.column("data").to_pylist()):
+            pieces_of.setdefault(b, []).append(d)
+        names = sorted(pieces_of)
+        at = {b: [0] * len(pieces_of[b]) for b in names}
+        answers: dict[int, list[bytes]] = {b: [] for b in names}
+        n = v = 0
+        for number in range(order):
+            keys, counts, ends = [], [], []
+            for b in names:
+                own, own_counts = [], []
+                for i, d in enumerate(pieces_of[b]):
+                    k, at[b][i] = _unpack(d, at[b][i])
+                    c, at[b][i] = _unpack(d, at[b][i])
+                    own.append(np.cumsum(k, dtype=np.uint64))
+                    own_counts.append(c)
+                if len(own) > 1:  # a block that more than one task has read
+                    k, inverse = np.unique(np.concatenate(own), return_inverse=True)
+                    own, own_counts = [k], [np.bincount(inverse, np.concatenate(own_counts), len(k)).astype(np.uint64)]
+                keys += own
+                counts += own_counts
+                ends.append(len(own[0]))
+            every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(inverse, np.concatenate(counts).astype(np.float64), len(every)).astype(np.uint64)
+            if number == 0:
+                n, v = int(total.sum()), int((total > 0).sum())
+            for b, own in zip(names, np.split(inverse, np.cumsum(ends)[:-1])):
+                answers[b].append(_pack(total[own]))
+        return pa.table({"block": pa.array([*names, None], pa.int64()), "part": pa.array([part] * (len(names) + 1), pa.int32()), "n": pa.array([None] * len(names) + [n], pa.int64()), "v": pa.array([None] * len(names) + [v], pa.int64()), "data": pa.array([*(b"".join(answers[b]) for b in names), None], pa.binary())})
+
+    named = texts.select("t", "held", "block").mapInArrow(pieces, "block bigint, part int, data binary")
+    return named.repartition(ranges, "part").groupBy("part").applyInArrow(added, "block bigint, part int, n bigint, v bigint, data binary")
 
 
 class Automaton:
-    """States with arcs and failure arcs; weights are log10 probabilities."""
-
-    def __init__(self, counts: list[int], total: int, discount: float, two: dict[int, int], three: dict[int, int]) -> None:
-        """counts: of the hot words by number (0, the start, has none). Grams by their keys, as _gram_counts has them."""
-        mask = (1 << _BITS) - 1
-        d, log = discount, math.log10
-        single = [(c - d) / total if c else 0.0 for c in counts]
-        # how often a context was seen before a word: the start once a text, other words as often as they occur
-        context = lambda w: counts[1] if w == _START else counts[w]  # noqa: E731  a text has one start and one end
-        after: dict[int, list[int]] = {}
-        for g in two:
-            after.setdefault(g >> _BITS, []).append(g)
-        further: dict[int, list[int]] = {}
-        for g in three:
-            further.setdefault(g >> _BITS, []).append(g)
-        state = {("", k): i + 1 for i, k in enumerate(sorted(after))}
-        state |= {("2", k): len(after) + i + 1 for i, k in enumerate(sorted(further))}
-        self.fail, self.weight = [0] * (len(state) + 1), [0.0] * (len(state) + 1)
-        self.arcs: dict[int, tuple[float, int]] = {w: (log(p), state.get(("", w), 0)) for w, p in enumerate(single) if p > 0}
-        prob: dict[int, float] = {}
-        for a, grams in after.items():
-            s, mass, lower = state["", a], 0.0, 0.0
-            for g in grams:
-                w, p = g & mask, (two[g] - d) / context(a)
-                prob[g] = p
-                mass, lower = mass + p, lower + single[w]
-                self.arcs[s << _BITS | w] = (log(p), state.get(("2", g), state.get(("", w), 0)))
-            self.weight[s] = self._left(mass, lower)
-        back = {a: 10 ** self.weight[state["", a]] for a in after}
-        for ab, grams in further.items():
-            s, b, mass, lower = state["2", ab], ab & mask, 0.0, 0.0
-            for g in grams:
-                w, p = g & mask, (three[g] - d) / two[ab]
-                bc = b << _BITS | w
-                mass += p
-                lower += prob.get(bc, back.get(b, 1.0) * single[w])
-                self.arcs[s << _BITS | w] = (log(p), state.get(("2", bc), state.get(("", w), 0)))
-            self.fail[s] = state.get(("", b), 0)
-            self.weight[s] = self._left(mass, lower)
-        self.first = state.get(("", _START), 0)
-
-    @staticmethod
-    def _left(mass: float, lower: float) -> float:
-        return math.log10(max(1 - mass, 1e-12) / max(1 - lower, 1e-12))
-
-    def score(self, ids: list[int]) -> float:
-        """What the arcs and failure arcs on the way of these words add up to; -1 (not hot) has no arc and ends at the root."""
-        arcs, fail, weight = self.arcs.get, self.fail, self.weight
-        s, total = self.first, 0.0
-        for w in ids:
-            hit = arcs(s << _BITS | w)
-            while hit is None and s:
-                total += weight[s]
-                s = fail[s]
-                hit = arcs(s << _BITS | w)
-            if hit is not None:
-                total += hit[0]
-                s = hit[1]
-        return total
-
-
-def _base(c: str | Column, n: int, v: int) -> Column:
-    return F.log10((F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0)) + 1) / F.lit(float(n + v + 1)))
-
-
-def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 7, held: int = 2) -> DataFrame:
+    """The part of the automaton that some tokens traverse: for each token, the counts of the n-grams that end there.
+
+    counts: by order; a token's contexts are the n-grams that end at the token before it.
+    """
+
+    def __init__(self, counts: list[np.ndarray], first: np.ndarray, texts: int, total: int, words: int, strength: tuple[float, ...] = STRENGTH) -> None:
+        self.counts, self.first, self.texts, self.strength = counts, first, texts, strength
+        self.root = (counts[0] + 1) / (total + words + 1)
+
+    def weights(self) -> np.ndarray:
+        """log10 of what the arcs and failure arcs on each token's way multiply to, from left to right.
+
+        A token's state is the longest of its contexts that was seen. Where that has no arc by the token, the failure
+        arc's weight is taken and the next shorter context is asked, at last the root.
+        """
+        p = self.root
+        for number, m in enumerate(self.strength[: len(self.counts) - 1], 1):
+            state = np.empty_like(p)
+            state[1:] = self.counts[number - 1][:-1]
+            state[self.first] = self.texts if number == 1 else 0  # no longer context than the start
+            failure = m / (state + m)
+            p = np.where(self.counts[number] > 0, (self.counts[number] + m * p) / (state + m), failure * p)
+        return np.log10(p)
+
+
+def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 7, held: int = 2, order: int = ORDER, strength: tuple[float, ...] = STRENGTH) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     Rows whose crc32 of the key as text has the remainder ``held`` are not learnt from; null keys are learnt from. A
-    null or empty text is one token, the end. Probabilities: of a word, (c - D) / N, of all unseen words together
-    D * V / N, D from the counts of counts; after a kept context the discounted ratio, or the failure weight times the
-    probability at the shorter context. Without any training text every word is unseen and all scores are 0. Rows that
-    repeat key and text have equal results.
+    null or empty text is one token, the end. score: log10 of the probability of the text, the sum over its tokens of
+    the automaton's weights. A word that was never seen has the root's probability for count 0, so texts of such words
+    score low. Without any training text every score is 0. Rows that repeat key and text have equal results. One text
+    is never split: a worker needs about 150 bytes of memory for each of its tokens.
     """
-    spark = docs.sparkSession
-    out_of = F.coalesce(remainder(key, modulus) == held, F.lit(False))
-    train = docs.where(~out_of)
-    # a file for the words of about ten thousand texts
-    words = written(word_counts(train, text), "lm-words", docs.count(), 10_000)
-    n, v, once, twice = words.agg(F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    n = n or 0
-    d = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
-    # the hottest first; the end is always numbered
-    hot = [(bytes(r["w"]), r["c"]) for r in words.where((F.col("c") >= n / HOT) & (F.col("w") != F.lit(END))).collect()] if n else []
-    hot = sorted(hot, key=lambda x: (-x[1], x[0]))
-    end = (words.where(F.col("w") == F.lit(END)).first() or {"c": 0})["c"] if n else 0
-    names, counts = [END, *(w for w, _ in hot)], [0, end, *(c for _, c in hot)]
-    numbers = spark.sparkContext.broadcast(_Numbers({w: i + 1 for i, w in enumerate(names)}) if n else _Numbers())
-    least = max(SEEN, n / GRAMS)
-    often = spark.sparkContext.broadcast(_Numbers({w: i + 1 for i, w in enumerate(names) if counts[i + 1] >= least}))
-    two = _gram_counts(train, text, 2, often, None, least) if n else {}
-    kept = spark.sparkContext.broadcast(np.array(sorted(two), np.int64))
-    three = _gram_counts(train, text, 3, often, kept, least) if two else {}
-    model = spark.sparkContext.broadcast(Automaton(counts, max(n, 1), d, two, three))
-    base = spark.sparkContext.broadcast(np.log10((np.array(counts, np.float64) + 1) / (n + v + 1)))
-
-    rows = docs.select(F.col(key).cast("bigint").alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, automaton, of = numbers.value.__getitem__, model.value, base.value
-        for b in batches:
-            out = []
-            for t in (b.column(2)[i].as_py() or "" for i in range(b.num_rows)):
-                ids = list(map(number, tokens(t)))
-                x = np.array(ids)
-                known = x[x >= 0]
-                out.append((len(ids), len(known), float(of[known].sum()), automaton.score(ids)))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([o[i] for o in out], k) for i, k in enumerate(kinds))], names=["k", "h", "n_tokens", "n_known", "base", "score"])
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = numbers.value
-        for b in batches:
-            at, w, c = [], [], []
-            for i in range(b.num_rows):
-                cold = Counter([x for x in tokens(b.column(2)[i].as_py() or "") if x not in have])
-                at += [i] * len(cold)
-                w += cold.keys()
-                c += cold.values()
-                if len(w) > 200_000 or i == b.num_rows - 1:
-                    take = pa.array(at, pa.int64())
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(w, pa.binary()), pa.array(c, pa.int32())], names=["k", "h", "w", "n"])
-                    at, w, c = [], [], []
-
-    summary = rows.mapInArrow(whole, "k bigint, h bigint, n_tokens bigint, n_known bigint, base double, score double")
-    cold = rows.mapInArrow(rest, "k bigint, h bigint, w binary, n int").join(words, "w", "left")
-    unseen = math.log10(d * v / n) if n else 0.0
-    single = F.when(F.col("c").isNull(), F.lit(unseen)).otherwise(F.log10((F.col("c") - F.lit(d)) / F.lit(float(max(n, 1)))))
-    cold = cold.select("k", "h", F.lit(0).alias("rows"), F.lit(0).cast("bigint").alias("n_tokens"), F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).cast("bigint").alias("n_known"), (F.col("n") * _base("c", n, v)).alias("base"), (F.col("n") * single).alias("score"))
-    # repeated rows add up in every sum; they are divided by their number and come back as so many rows
-    both = summary.select("k", "h", F.lit(1).alias("rows"), "n_tokens", "n_known", "base", "score").unionByName(cold)
-    total = both.groupBy("k", "h").agg(*(F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base", "score")))
-    each = total.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))))
-    mean = lambda c: (F.col(c) / F.col("rows"))
-    return each.select(
-        F.col("k").alias(key),
-        F.coalesce(remainder("k", modulus) == held, F.lit(False)).alias("held_out"),
-        mean("n_tokens").cast("bigint").alias("n_tokens"),
-        mean("n_known").cast("bigint").alias("n_known"),
-        F.lit(n).cast("bigint").alias("train_tokens"),
-        mean("base").alias("base_score"),
-        mean("score").alias("score"),
+    texts = blocks(docs, key, text, F.coalesce(remainder(key, modulus) == held, F.lit(False)))
+    size = texts.agg(F.sum("size")).first()[0] or 0
+    # a token takes two bytes or more; no block has more n-grams than tokens of each order
+    ranges, bits = max(1, -(-size * order // (6 * RANGE))), min(64, size.bit_length() + SPARE)
+    counts = written(counted(texts, order, ranges, bits), "lm-counts")
+    n, v = (x or 0 for x in counts.agg(F.sum("n"), F.sum("v")).first())
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        found, lengths = grams(left.column("t").to_pylist(), order)
+        answers = right.sort_by("part").column("data").to_pylist()
+        at, first = [0] * len(answers), np.cumsum(lengths) - lengths
+        by_order, texts_learnt = [], 0
+        for number in range(order):
+            h = found[number]
+            found[number] = None
+            use = h != 0 if number > 1 else np.ones(len(h), bool)
+            got = []
+            for i, d in enumerate(answers):
+                c, at[i] = _unpack(d, at[i])
+                got.append(c)
+            inverse = np.unique(_keys(h[use], number, bits), return_inverse=True)[1]
+            c = np.zeros(len(h))
+            c[use] = np.concatenate(got)[inverse]
+            if number == 0:
+                texts_learnt = c[lengths[0] - 1]  # each text has one end
+            by_order.append(c)
+        model = Automaton(by_order, first, texts_learnt, n, v, strength)
+        add = lambda x: np.add.reduceat(x, first)
+        return pa.table({"k": left.column("k"), "held": left.column("held"), "n_tokens": lengths, "n_known": add((by_order[0] > 0).astype(np.int64)), "base": add(np.log10(model.root)), "score": add(model.weights())})
+
+    schema = "k bigint, held boolean, n_tokens bigint, n_known bigint, base double, score double"
+    asked = texts.select("block", "k", "t", "held").groupBy("block").cogroup(counts.where("block is not null").select("block", "part", "data").groupBy("block"))
+    return asked.applyInArrow(score, schema).select(
+        F.col("k").alias(key), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"), "score"
     )
