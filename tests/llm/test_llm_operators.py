@@ -272,8 +272,17 @@ def test_simhash_against_all_pairs(spark, documents):
     assert all(got[i]["fingerprint"] == f"{f:016x}" for i, f in fps.items())
     want = groups([(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 2], fps)
     assert {i: g["component_id"] for i, g in got.items()} == want
-    kept = simhash.one_of_each(documents(rows))
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+
+
+def test_similar_texts_of_one_key(documents):
+    """Texts that share a key are judged each by itself; repeated rows give one."""
+    r = random.Random(4)
+    a, b, c = (prose(r, 40) for _ in range(3))
+    rows = [(7, a), (7, a), (7, b), (8, a), (9, b), (10, c), (None, a), (None, a)]
+    for n in (1, 3):
+        out = simhash.one_of_each(documents(rows).repartition(n))
+        assert Counter((x["doc_id"], x["text"]) for x in out.collect()) == Counter([(7, a), (7, b), (10, c), (None, a), (None, a)])
+        assert out.columns == documents(rows).columns
 
 
 def test_simhash_finds_every_link_of_two_bits():

@@ -39,7 +39,7 @@ BITS = 48
 #: Vectors that are all compared with each other where their words begin alike.
 RUN = 1024
 #: Vectors of a block when links are counted: at least, and at most in groups of over 32 times as many.
-BLOCK, LARGE_BLOCK = 128, 4096
+BLOCK, LARGE_BLOCK = 64, 4096
 #: Rows and bytes of the partitions that a pass is sorted into, about.
 SORTED, SORTED_BYTES = 200_000, 64_000_000
 SEED = 7
@@ -298,13 +298,14 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     element = rows.schema["vector"].dataType.elementType
     plain = F.transform("vector", lambda x: x + F.lit(0).cast(element))
     distinct = usable.groupBy("label", plain.alias("vector")).agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("copies"))
-    distinct = written(distinct.withColumn("dims", F.size("vector")).withColumn("hash", F.xxhash64("label", "vector")), "embedding-vectors", vectors.count(), 100_000)
+    distinct = written(distinct.withColumn("dims", F.size("vector")).withColumn("hash", F.xxhash64("label", "vector")).withColumn("more", F.xxhash64(F.lit(1), "label", "vector")), "embedding-vectors", vectors.count(), 100_000)
     comps = connected_components(candidates(distinct, least, passes, width), "embedding-links", distinct.count())
     comps = comps.withColumnRenamed("node", "id")
     of_vector = distinct.join(_links(distinct, comps, least), "id", "left").join(comps, "id", "left")
-    of_vector = of_vector.select("id", F.col("label").alias("_l"), F.col("vector").alias("_v"), "hash", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    wide = rows.withColumn("_u", F.col("key").isNotNull() & F.col("label").isNotNull() & _usable("vector"))
-    wide = wide.withColumn("vector", F.when(F.col("_u"), plain)).withColumn("hash", F.when(F.col("_u"), F.xxhash64("label", "vector")))
-    out = wide.join(of_vector, (wide["hash"] == of_vector["hash"]) & (wide["label"] == of_vector["_l"]) & (wide["vector"] == of_vector["_v"]), "left")
+    of_vector = of_vector.select("id", F.col("hash").alias("_h"), F.col("more").alias("_m"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    # rows find their vector by 128 bits of hash, so that vectors need not move again
+    use = F.col("key").isNotNull() & F.col("label").isNotNull() & _usable("vector")
+    wide = rows.select("key", F.when(use, F.xxhash64("label", plain)).alias("hash"), F.when(use, F.xxhash64(F.lit(1), "label", plain)).alias("more"))
+    out = wide.join(of_vector, (F.col("hash") == F.col("_h")) & (F.col("more") == F.col("_m")), "left")
     component = F.coalesce("component_id", "key")
     return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))
