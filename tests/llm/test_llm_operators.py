@@ -468,12 +468,75 @@ def test_bpe_by_higher_order_functions(spark, tokenizer):
 # 9 substring dedup
 
 
+def plain_units(text):
+    """(place of the first word, behind the last, words) of lines and paragraphs, by loops over words."""
+    lines = [x.split() for x in text.lower().split("\n")]
+    words = [w for x in lines for w in x]
+    n, found, at, begins = len(words), set(), 0, set()
+    if n < 5:
+        return []
+    for x in lines:
+        begins.add(at)
+        if len(x) >= 5:
+            found.add((at, at + len(x)))
+        at += len(x)
+    begins |= {i + 1 for i, w in enumerate(words) if w[-1] in ".!?…"}
+    crc = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words] + [0]
+    rank = [(i not in begins, ((crc[i] * 0x9E3779B97F4A7C15 + crc[i + 1] * 0xC2B2AE3D27D4EB4F) % 2**64) >> 8) for i in range(n)]
+    first = lambda k: sorted({min(range(i, i + min(k, n)), key=lambda p: (rank[p], p)) for i in range(n - min(k, n) + 1)})
+    cuts = [*first(9), n]
+    for i in first(16):
+        end = [c for c in cuts if c >= i + 16]
+        if end:
+            found.add((i, end[0]))
+    return [(i, j, tuple(words[i:j])) for i, j in sorted(found)]
+
+
 def brute_dedup(rows):
+    """For each row the places of words that go: those in a unit that an earlier row, or the row before, has."""
     first = {}
     for i, t in sorted(rows, key=lambda x: -1 if x[0] is None else x[0]):
-        for _, _, h in linededup.units(t or ""):
+        for _, _, h in plain_units(t or ""):
             first.setdefault(h, i)
-    return {i: linededup.cut(t, {int.from_bytes(h[:8], "big", signed=True) for _, _, h in linededup.units(t) if first[h] != i})[0] for i, t in rows if t is not None}
+    out = {}
+    for i, t in rows:
+        seen, gone = set(), set()
+        for a, b, h in plain_units(t or ""):
+            if first[h] != i or h in seen:
+                gone |= set(range(a, b))
+            seen.add(h)
+        out[i] = gone
+    return out
+
+
+def places(text, spans):
+    """The places of the words inside spans of code points."""
+    return {k for k, m in enumerate(re.finditer(r"\S+", text)) if any(s["start"] <= m.start() and m.end() <= s["end"] for s in spans)}
+
+
+def test_repeats_find_any_run_of_51_words(documents):
+    """Whatever precedes and follows it, with and without full stops."""
+    r = random.Random(21)
+    words = lambda n, stop: " ".join(f"{r.randrange(10**6)}x" + "." * (stop and r.random() < 0.1) for _ in range(n))
+    rows, passages = [], []
+    for i in range(0, 400, 2):
+        stop = i % 4 == 0
+        passages.append(words(51, stop))
+        rows += [(i + k, f"{words(r.randrange(80), stop)} {passages[-1]} {words(r.randrange(80), stop)}") for k in (0, 1)]
+    out = by_id(linededup.without_repeats(documents(rows).repartition(5)))
+    for i, t in rows:
+        inside = places(t, out[i]["spans"])
+        assert inside == brute_dedup([(j, u) for j, u in rows if j // 2 == i // 2])[i]
+        at = t.split().index(passages[i // 2].split()[0])
+        assert i % 2 == 0 and not inside or i % 2 and len(inside) >= 16 and inside <= set(range(at, at + 51))
+    assert sum(len(places(t, out[i]["spans"])) for i, t in rows) > 0.65 * 51 * len(passages)
+
+
+def test_repeats_of_null_and_repeated_keys(documents):
+    line = "This line is printed at the foot of many pages"
+    rows = [(None, f"{line}\nnull one has words"), (None, f"{line}\nnull two has words"), (3, line), (3, line), (3, f"three\n{line}"), (-(1 << 63), f"least\n{line}")]
+    out = [r["text"] for r in linededup.without_repeats(documents(rows).repartition(3)).collect()]
+    assert sum(line in t for t in out) == 1 and sorted(len(t.split()) for t in out)[:2] == [0, 0]
 
 
 def test_repeats_against_a_table_of_units(documents):
@@ -490,7 +553,8 @@ def test_repeats_against_a_table_of_units(documents):
         rows.append((i, "\n".join(lines)))
     out = by_id(linededup.without_repeats(documents(rows)))
     want = brute_dedup(rows)
-    assert {i: o["text"] for i, o in out.items()} == want
+    assert {i: places(t, out[i]["spans"]) for i, t in rows} == want
+    assert all(out[i]["text"].split() == [w for k, w in enumerate(t.split()) if k not in want[i]] for i, t in rows)
     assert sum("Sentence 3 of the passage" in o["text"] for o in out.values()) == 1 and "Sentence 3" in out[0]["text"]
     assert sum(line in o["text"] for o in out.values()) == 1
     for i, t in rows:

@@ -1,10 +1,13 @@
 """Substring dedup by hashed lines and paragraphs.
 
-A text's units are its lines, and paragraphs of sentences: from each sentence on, as many as have WINDOW words; long sentences are cut at words that the content picks. A unit
-is normalised (lower case, white space runs to one space) and digested to 128 bits; digests are grouped over all texts,
-the occurrence that ranks first by (key, offset) is kept, and the others' characters are removed. A text's own repeats
-are found in it, so only its distinct digests are grouped. As paragraphs begin at
-each sentence, a passage is found behind whatever precedes it in its line. Offsets are code points of the original text.
+A text's units are its lines, and paragraphs: from a cut to the first cut that is PARAGRAPH words or more behind it. Text
+is cut at the words that rank first of FRAME words in a row: words that begin a line or sentence rank before others, then
+the hash of a word and the next decides. Paragraphs begin at cuts that rank first of START words in a row. Cuts depend on
+a few words around them only, so two texts that share 51 words or more are cut alike inside them, whatever precedes and
+follows, and have a whole paragraph in common. A unit is
+normalised (lower case, white space runs to one space) and digested to 128 bits; digests are grouped over all texts, the
+occurrence that ranks first by (key, offset) is kept, and the others' characters are removed. A text's own repeats are
+found in it, so only its distinct digests are grouped. Offsets are code points of the original text.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,122 +28,114 @@ from veriframe.llm.common import chunks, written
 
 #: Lines of fewer words are too short to be told apart from common phrases.
 LINE = 5
-#: Words of a paragraph, at least.
-WINDOW = 20
+#: Words of a paragraph, at least; words in a row of which one is a cut; words in a row of which one begins a paragraph.
+#: Any common run of START + PARAGRAPH + 2 * FRAME words holds a paragraph: one begins among its first START words and ends
+#: within a frame of its length, and up to a frame before the run's end all cuts are the same in both texts.
+PARAGRAPH = 16
+FRAME = 9
+START = 16
 
-#: A sentence of more words is cut behind words that their checksum picks, one in CUT: where a passage stands in text
-#: without full stops, it is cut at the same words.
-LONG = 40
-CUT = 12
-
-_SENTENCE = re.compile(r"[.!?…]+(?=\s)|\n")
 _WORD = re.compile(r"\S+")
+_STOPS = (b".", b"!", b"?", "…".encode())
+
+
+def _ranked_first(rank: np.ndarray, frame: int) -> np.ndarray:
+    """Places of the smallest of each ``frame`` numbers in a row, the leftmost of equals; of fewer numbers the smallest."""
+    frame = min(frame, len(rank))
+    return np.unique(np.arange(len(rank) - frame + 1) + np.lib.stride_tricks.sliding_window_view(rank, frame).argmin(1))
 
 
-def units(text: str, line: int = LINE, window: int = WINDOW) -> list[tuple[int, int, bytes]]:
-    """(start, end, 16-byte digest) of each unit of a text, in the order of start; no two are alike."""
-    starts, ends, norms, words, breaks = [], [], [], [], [0]  # breaks: number of sentences before each line
-    at = 0
-
-    def short(a: int, piece: str, w: list[str]) -> None:
-        a += len(piece) - len(piece := piece.lstrip())
-        starts.append(a)
-        ends.append(a + len(piece.rstrip()))
-        norms.append(" ".join(w))
-        words.append(len(w))
-
-    def add(a: int, b: int) -> None:
-        piece = text[a:b]
-        w = piece.lower().split()
-        if 0 < len(w) <= LONG:
-            short(a, piece, w)
-        elif w:
-            begin, last = 0, len(piece.rstrip())
-            for m in _WORD.finditer(piece):
-                if m.end() == last or zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) % CUT == 0:
-                    part = piece[begin : m.end()]
-                    short(a + begin, part, part.lower().split())
-                    begin = m.end()
-
-    for m in _SENTENCE.finditer(text):
-        newline = text[m.start()] == "\n"
-        add(at, m.start() if newline else m.end())
-        at = m.end()
-        if newline:
-            breaks.append(len(norms))
-    add(at, len(text))
-    breaks.append(len(norms))
-    if not norms:
+def units(text: str, line: int = LINE, paragraph: int = PARAGRAPH) -> list[tuple[int, int, bytes]]:
+    """(first word, word behind the last, 16-byte digest) of each unit of a text, in order; no two units are alike."""
+    rows = [x.split() for x in text.lower().split("\n")]
+    counts = np.array([len(x) for x in rows])
+    n = int(counts.sum())
+    if n < line:
         return []
-    joined = " ".join(norms)
-    place, p = [], 0
-    for x in norms:
-        place.append(p)
-        p += len(x) + 1
+    joined = " ".join(chain.from_iterable(rows)).encode("utf-8", "surrogatepass")
+    words = joined.split(b" ")
+    stop = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    start = np.concatenate(([0], stop[:-1] + 1))
+    ends = np.cumsum(counts)
+    begins = ends - counts
+    first = np.zeros(n + 1, bool)
+    first[begins[counts > 0]] = True
+    first[1:] |= np.fromiter((w.endswith(_STOPS) for w in words), bool, n)
+    h = np.fromiter(map(zlib.crc32, words), np.uint64, n)
+    h = (h * np.uint64(0x9E3779B97F4A7C15) + np.append(h[1:], np.uint64(0)) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(8)
+    h[~first[:n]] |= np.uint64(1 << 63)
+    starts, cuts = _ranked_first(h, START), np.append(_ranked_first(h, FRAME), n)
+    to = np.searchsorted(cuts, starts + paragraph)
+    long = to < len(cuts)
+    found = {(int(a), int(b)) for a, b, c in zip(begins, ends, counts) if c >= line} | set(zip(starts[long].tolist(), cuts[to[long]].tolist()))
     digest = xxhash.xxh3_128_digest
-    found: dict[tuple[int, int], bytes] = {}
-    for i, j in zip(breaks, breaks[1:]):
-        if sum(words[i:j]) >= line:
-            found[i, j] = digest(joined[place[i] : place[j - 1] + len(norms[j - 1])].encode("utf-8", "surrogatepass"))
-    j = total = 0
-    for i in range(len(norms)):
-        while j < len(norms) and total < window:
-            total += words[j]
-            j += 1
-        if total < window:
-            break
-        if (i, j) not in found:
-            found[i, j] = digest(joined[place[i] : place[j - 1] + len(norms[j - 1])].encode("utf-8", "surrogatepass"))
-        total -= words[i]
-    return [(starts[i], ends[j - 1], h) for (i, j), h in sorted(found.items())]
-
-
-def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", line: int = LINE, window: int = WINDOW) -> DataFrame:
-    """(h1, h2, k): the halves of each distinct digest of each row and the row's key."""
+    return [(i, j, digest(joined[a:b])) for (i, j), a, b in ((x, start[x[0]], stop[x[1] - 1]) for x in sorted(found))]
+
+
+def _who(docs: DataFrame, key: str, text: str) -> F.Column:
+    """What tells the rows of a table apart and ranks them: the key; with it the text's hash if keys are null or repeat.
+
+    Null keys rank first.
+    """
+    k = docs[key].cast("bigint")
+    if docs.select(k.alias("k")).groupBy("k").count().where("count > 1 or k is null").isEmpty():
+        return k
+    return F.struct(k.isNotNull().alias("known"), F.coalesce(k, F.lit(0)).alias("k"), F.xxhash64(docs[text]).alias("t"))
+
+
+def digests(rows: DataFrame, line: int = LINE, paragraph: int = PARAGRAPH) -> DataFrame:
+    """(h1, h2, k): the halves of each distinct digest of each row of (k, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start, texts in chunks(b, text):
+            for start, texts in chunks(b, "t"):
                 row, found = [], []
                 for i, t in enumerate(texts, start):
-                    own = {h for _, _, h in units(t, line, window)}
+                    own = {h for _, _, h in units(t, line, paragraph)}
                     row += [i] * len(own)
                     found += own
                 h = np.frombuffer(b"".join(found), ">i8").astype(np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), b.column(0).take(pa.array(row, pa.int64()))], names=["h1", "h2", "k"])
 
-    return docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("k"), F.col(text).alias(text)).mapInArrow(run, "h1 bigint, h2 bigint, k bigint")
+    return rows.mapInArrow(run, f"h1 bigint, h2 bigint, k {rows.schema['k'].dataType.simpleString()}")
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", line: int = LINE, window: int = WINDOW) -> DataFrame:
-    """(k, cuts array<bigint>): for each key the digests (first halves) that a smaller key has too.
+def repeats(rows: DataFrame, line: int = LINE, paragraph: int = PARAGRAPH) -> DataFrame:
+    """(k, cuts array<bigint>): for each row of (k, t) the digests (first halves) that a row of a smaller k has too.
 
     Digests are written, as they are read twice. Groups are aggregated before the shuffle and written, one row for each
     that repeats. Digests find their group by an equi-join of two shuffled sides, which adaptive execution splits where
     one line is everywhere.
     """
-    found = written(digests(docs, key, text, line, window), "units")
+    found = written(digests(rows, line, paragraph), "units")
     groups = found.groupBy("h1", "h2").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
-    groups = written(groups, "repeated-units", docs.count(), 20_000)
-    return found.join(groups, ["h1", "h2"]).where("k <> first").groupBy("k").agg(F.collect_set("h1").alias("cuts"))
+    groups = written(groups, "repeated-units", rows.count(), 20_000)
+    return found.join(groups, ["h1", "h2"]).where(F.col("k") != F.col("first")).groupBy("k").agg(F.collect_set("h1").alias("cuts"))
 
 
-def cut(text: str, cuts: set[int], line: int = LINE, window: int = WINDOW) -> tuple[str, list[tuple[int, int]], int]:
+def cut(text: str, cuts: set[int], line: int = LINE, paragraph: int = PARAGRAPH) -> tuple[str, list[tuple[int, int]], int]:
     """The text without the units whose digest is in ``cuts`` or came before in it, the merged spans removed, all units.
 
     cuts: first halves of digests, as signed numbers.
     """
     drop = {x.to_bytes(8, "big", signed=True) for x in cuts}
-    all_of = units(text, line, window)
-    spans: list[list[int]] = []
+    all_of = units(text, line, paragraph)
+    gone: list[tuple[int, int]] = []
     seen: set[bytes] = set()
-    for a, b, h in all_of:
+    for i, j, h in all_of:
         if h in seen or h[:8] in drop:
-            if spans and (a < spans[-1][1] or not text[spans[-1][1] : a].strip()):
-                spans[-1][1] = max(spans[-1][1], b)
-            else:
-                spans.append([a, b])
+            gone.append((i, j))
         seen.add(h)
+    if not gone:
+        return text, [], len(all_of)
+    place = [m.span() for m in _WORD.finditer(text)]
+    spans: list[list[int]] = []
+    for i, j in gone:
+        a, b = place[i][0], place[j - 1][1]
+        if spans and (a < spans[-1][1] or not text[spans[-1][1] : a].strip()):
+            spans[-1][1] = max(spans[-1][1], b)
+        else:
+            spans.append([a, b])
     kept, at = [], 0
     for a, b in spans:
         kept.append(text[at:a])
@@ -151,18 +147,20 @@ def cut(text: str, cuts: set[int], line: int = LINE, window: int = WINDOW) -> tu
     return "".join(kept), [(a, b) for a, b in spans], len(all_of)
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", line: int = LINE, window: int = WINDOW) -> DataFrame:
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", line: int = LINE, paragraph: int = PARAGRAPH) -> DataFrame:
     """``docs`` with its repeated units removed from ``text``, and two more columns.
 
     n_units: the text's units (lines and paragraphs). spans: array of (start, end), the code points removed from the
     original text, merged and in order. Every row stays, with an empty text if all of it occurs earlier; a null text
-    stays null. Rows with a null key rank first. Rows that share a key count as one document: each keeps its first
-    occurrence of a unit. Columns that are named like the two new ones are replaced.
+    stays null. Rows with a null key rank first, by their texts' hashes; so do different texts of one key among each
+    other. Rows that repeat key and text count as one document: each keeps its first occurrence of a unit. Columns that
+    are named like the two new ones are replaced.
     """
     docs = docs.drop(*(c for c in docs.columns if c.lower() in ("n_units", "spans")))
     order = docs.columns
-    cuts = repeats(docs, key, text, line, window).withColumnRenamed("k", "_k")
-    rows = docs.select(F.struct(*(docs[c] for c in order)).alias("_row"), F.coalesce(docs[key].cast("bigint"), F.lit(-(1 << 63))).alias("_j"))
+    who = _who(docs, key, text)
+    cuts = repeats(docs.select(who.alias("k"), docs[text].alias("t")), line, paragraph).withColumnRenamed("k", "_k")
+    rows = docs.select(F.struct(*(docs[c] for c in order)).alias("_row"), who.alias("_j"))
     both = rows.join(cuts, rows["_j"] == cuts["_k"], "left").select("_row", "cuts")
     row_type = both.schema["_row"].dataType
     schema = T.StructType([*row_type.fields, T.StructField("n_units", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
@@ -175,7 +173,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", li
             texts, spans, n = [], [], []
             for i in range(b.num_rows):
                 t = parts[at][i].as_py()
-                out = (None, [], 0) if t is None else cut(t, set(b.column(1)[i].as_py() or ()), line, window)
+                out = (None, [], 0) if t is None else cut(t, set(b.column(1)[i].as_py() or ()), line, paragraph)
                 texts.append(out[0])
                 spans.append([{"start": x, "end": y} for x, y in out[1]])
                 n.append(out[2])
