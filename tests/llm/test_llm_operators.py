@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import time
 import zlib
 from collections import Counter
@@ -16,7 +18,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from veriframe.llm import bpe, embdedup, htmllayouts, htmltext, langid, linededup, media, mixing, ngramlm, simhash, toxicity
+from veriframe.llm import bpe, common, embdedup, htmllayouts, htmltext, langid, linededup, media, mixing, ngramlm, simhash, toxicity
 from veriframe.llm.common import connected_components
 
 WORDS = "the of and to in that is was for on are with as his they at be this have from or had by hot but some what there we can out other were all your when up use word how said an each she".split()
@@ -112,6 +114,55 @@ def test_media_round_trip_of_any_bytes():
         assert x["thumb"].ravel()[: len(p) // 64].tolist() == list(p[::64])  # a pixel is the block's first byte
 
 
+def peak_of(code):
+    """MB that a process of its own takes at most."""
+    run = subprocess.run([sys.executable, "-c", f"import resource\n{code}\nprint(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"], capture_output=True, text=True, check=True, timeout=500)
+    return int(run.stdout.split()[-1])
+
+
+def test_media_of_a_long_payload():
+    r = np.random.default_rng(3)
+    long = r.integers(32, 127, 192 * 20_000, np.uint8).tobytes()
+    short = [bytes(r.integers(0, 256, 192 * k, np.uint8)) for k in (1, 40, 3)]
+    files = media.encode([short[0], long, *short[1:]])
+    assert [media.payload_of(x) for x in media.decode(files)] == [short[0], long, *short[1:]]
+    assert files == [media.encode([p])[0] for p in (short[0], long, *short[1:])]
+
+
+def test_long_texts_need_memory_in_proportion():
+    """50 MB texts: media, toxicity and language."""
+    text = "t = 'Some words of a long text that go on and on, with more of them. ' * 750_000"
+    assert peak_of(f"from veriframe.llm import media\n{text}\np = t.encode()\np += b' ' * (-len(p) % 192)\nassert media.payload_of(media.decode(media.encode([p]))[0]) == p") < 1500
+    assert peak_of(f"from veriframe.llm import langid, toxicity\n{text}\nm = toxicity.Model(); assert abs(m.score([t])[0] - m.score([t[:640_000]])[0]) < 1e-6\nassert langid.vectors([t])[1].all()") < 900
+
+
+def test_long_texts_score_as_if_whole(monkeypatch):
+    r = random.Random(8)
+    texts = [prose(r, 400) + f" {i}" for i in range(12)]
+    model = toxicity.Model()
+    model.train(texts, np.array([i % 2 for i in range(12)], np.float32), ["en", "de"] * 6, np.ones(12))
+    whole, grams = model.score(texts), langid.vectors(texts)[0]
+    monkeypatch.setattr(toxicity, "PIECE", 300)
+    assert np.allclose(model.score(texts), whole)
+    monkeypatch.setattr(langid, "pieces", lambda t: common.pieces(t, 200))
+    assert np.allclose(langid.vectors(texts)[0], grams)
+    assert all("".join(common.pieces(t, 50)) == t for t in texts) and [len(x) for x in common.pieces("x" * 100, 30)] == [30, 30, 30, 10]
+
+
+def test_samples_are_bounded(spark):
+    """A key repeated often, many languages, only null keys, a text too long for its share."""
+    hot = spark.range(100_000).selectExpr("7L AS doc_id", "concat('text ', id % 3) AS text", "'en' AS lang")
+    many = spark.range(3000).selectExpr("id + 100 AS doc_id", "concat('some words ', id) AS text", "concat('l', id % 1000) AS lang")
+    found = common.bounded_sample(hot.union(many), hot.union(many), ["lang"], "doc_id", "text", 400, 50, 200, 10_000)
+    assert len(found) <= 200 and len({f.stratum for f in found}) <= 50 and sum(f.key == 7 for f in found) == 1
+    model = langid.fit(hot.union(many))
+    assert len(model.langs) <= langid.KINDS
+    nulls = hot.selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "lang").limit(20)
+    assert langid.fit(nulls).langs == [] and langid.identified(nulls).where("lang_pred = 'und'").count() == 20
+    long = spark.createDataFrame([(1, "x" * 9000, "a"), (2, "short", "a"), (3, None, "a")], "doc_id bigint, text string, lang string")
+    assert sorted(f.key for f in common.bounded_sample(long, long, ["lang"], "doc_id", "text", 400, 50, 200, 5000)) == [2, 3]
+
+
 def test_media_reads_files_of_another_encoder(spark, tmp_path):
     """Files that the JVM's encoder writes: thumbnails are near the means of the blocks of what its decoder reads."""
     jvm = spark.sparkContext._jvm

@@ -14,6 +14,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,26 +82,60 @@ def share_of_hash(*cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)).cast("double") / float(1 << 40)
 
 
-#: Most strata of a sample; their counts are collected.
-STRATA = 10_000
+class Sampled(NamedTuple):
+    """A text of a sample, with its stratum, the stratum's number of rows and a hash that orders the sample."""
 
+    key: int
+    text: str
+    stratum: tuple
+    rows: int
+    order: float
 
-def bounded_sample(rows: DataFrame, strata: list[str], key: str, most: int) -> DataFrame:
-    """(key, strata, _n) of about ``most`` rows of each stratum, chosen by hash; _n is the stratum's number of rows.
 
-    One pass counts the strata; a threshold on the key's hash then picks the rows, so no task gathers a stratum and the
-    same rows are chosen whatever the partitions. At most STRATA strata.
+def bounded_sample(rows: DataFrame, docs: DataFrame, strata: list[str], key: str, text: str, most: int, kinds: int, total: int, size: int) -> list[Sampled]:
+    """About ``most`` texts of each stratum, chosen by the keys' hashes, whatever the partitions.
+
+    ``rows``: (key, strata), ``docs``: the texts by key. Bounds, whatever the input: the ``kinds`` most frequent strata;
+    ``total`` texts of all strata together; one text for each key (that with the smallest hash, where a key repeats);
+    ``size`` bytes of text, shared evenly by the strata: what does not fit in its stratum's share is left out.
     """
     spark = rows.sparkSession
-    counts = rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n")).limit(STRATA + 1).collect()
-    if len(counts) > STRATA:
-        raise ValueError(f"over {STRATA} strata")
-    kinds = T.StructType([*(T.StructField(f"_s{i}", rows.schema[c].dataType) for i, c in enumerate(strata)), T.StructField("_n", T.LongType())])
-    each = F.broadcast(spark.createDataFrame([tuple(r) for r in counts], kinds))
+    counts = rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), *strata).limit(kinds).collect()
+    if not counts:
+        return []
+    most = max(1, min(most, total // len(counts)))
+    kind = T.StructType([*(T.StructField(f"_s{i}", rows.schema[c].dataType) for i, c in enumerate(strata)), T.StructField("_n", T.LongType()), T.StructField("_i", T.IntegerType())])
+    each = F.broadcast(spark.createDataFrame([(*r, i) for i, r in enumerate(counts)], kind))
     on = F.lit(True)
     for i, c in enumerate(strata):
         on = on & rows[c].eqNullSafe(each[f"_s{i}"])
-    return rows.join(each, on).where(share_of_hash(key) * F.col("_n") < most).select(key, *strata, "_n")
+    # a threshold on the hash picks somewhat more than ``most``; a repeated key is combined before it is shuffled
+    near = rows.join(each, on).where(share_of_hash(key) * F.col("_n") < 1.2 * most + 20)
+    picked = near.groupBy(F.col(key).cast("bigint").alias("_k")).agg(F.min(F.struct("_i")).alias("_i"), F.min(share_of_hash(key)).alias("_o")).select("_k", "_i._i", "_o")
+    first: dict[int, list] = {}
+    for r in sorted(picked.collect(), key=lambda r: (r["_o"], r["_k"])):
+        if len(of := first.setdefault(r["_i"], [])) < most:
+            of.append(r)
+    chosen = {r["_k"]: r for of in first.values() for r in of}
+
+    def texts(keys: list, what: Column) -> list:
+        wanted = F.broadcast(spark.createDataFrame([(k,) for k in keys], "_k bigint"))
+        return docs.select(F.col(key).cast("bigint").alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(wanted, "_k").groupBy("_k").agg(F.min(F.struct(F.xxhash64("_t").alias("h"), what.alias("x")))["x"].alias("_x")).collect()
+
+    lengths = {r["_k"]: r["_x"] for r in texts(list(chosen), F.octet_length("_t"))}
+    keys: list[int] = []
+    for of in first.values():
+        room = size // len(counts)
+        for r in of:
+            if (n := lengths.get(r["_k"], room + 1)) <= room:
+                room -= n
+                keys.append(r["_k"])
+    out = []
+    for r in texts(keys, F.col("_t")) if keys else ():
+        at = chosen[r["_k"]]
+        *stratum, n = counts[at["_i"]]
+        out.append(Sampled(r["_k"], r["_x"], tuple(stratum), n, at["_o"]))
+    return sorted(out, key=lambda x: (x.order, x.key))
 
 
 def chunks(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
@@ -118,6 +153,22 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterato
         yield start, out
 
 
+def pieces(text: str, most: int = 200_000) -> Iterator[str]:
+    """A text in pieces of at most ``most`` characters that end behind a character that is no letter.
+
+    Only a run of ``most`` letters is cut inside.
+    """
+    at = 0
+    while len(text) - at > most:
+        end = at + most
+        while end > at and text[end - 1].isalpha():
+            end -= 1
+        end = end if end > at else at + most
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def fields(df: DataFrame, *names: str) -> list[T.StructField]:
     return [df.schema[n] for n in names]
 

@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import bounded_sample, chunks, remainder
+from veriframe.llm.common import bounded_sample, chunks, pieces, remainder
 
 DIMS = 1 << 13
 CENTROIDS = 3
-#: Texts a language is learnt from, about; the only bounded part.
-SAMPLE = 400
+#: Texts a language is learnt from, about; how many languages, the most frequent; texts of all together; their bytes. The
+#: only bounded part.
+SAMPLE, KINDS, TOTAL, BYTES = 400, 500, 4000, 32_000_000
 #: Share of a language's own sample that is farther than its rejection distance.
 FAR = 0.002
 UNKNOWN = "und"
@@ -40,7 +41,34 @@ def _letters() -> np.ndarray:
 
 
 def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """log(1 + count) of each text's hashed n-grams, and whether it has a letter."""
+    """log(1 + count) of each text's hashed n-grams, and whether it has a letter.
+
+    Long texts are counted in pieces between letters, which have the same n-grams together.
+    """
+    out, letters = np.zeros((len(texts), DIMS), np.float32), np.zeros(len(texts), bool)
+    held: list[tuple[int, str]] = []
+
+    def count() -> None:
+        c, some = _counts([x for _, x in held])
+        owners = np.array([i for i, _ in held])
+        np.add.at(out, owners, c)
+        np.logical_or.at(letters, owners, some)
+        held.clear()
+
+    size = 0
+    for i, t in enumerate(texts):
+        for x in pieces(t):
+            if held and size + len(x) > 300_000:
+                count()
+                size = 0
+            held.append((i, x))
+            size += len(x)
+    if held:
+        count()
+    return np.log1p(out, out), letters
+
+
+def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     joined = " " + "  ".join(texts) + " "
     code = _letters()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
     ends = np.cumsum([len(t) + 2 for t in texts])
@@ -60,7 +88,7 @@ def vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owner = np.concatenate((doc[:-1][inside], doc[:-1][whole]))
     out = np.bincount(owner * DIMS + place, minlength=len(texts) * DIMS).reshape(len(texts), DIMS).astype(np.float32)
     letters = np.bincount(doc[code != 0], minlength=len(texts)) > 0
-    return np.log1p(out, out), letters
+    return out, letters
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -110,12 +138,14 @@ class Model:
 
 
 def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fits on about ``sample`` rows of each language, chosen by hash; null languages and keys are left out."""
-    have = train.where(F.col(lang).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    picked = bounded_sample(have.select("k", "l"), ["l"], "k", sample).select("k").distinct()
-    rows = have.join(F.broadcast(picked), "k", "left_semi").collect()
-    rows.sort(key=lambda r: (r["k"], r["t"] or ""))
-    return Model([r["t"] or "" for r in rows], [r["l"] for r in rows])
+    """Fits on about ``sample`` rows of each language, chosen by hash; null languages and keys are left out.
+
+    Of a key that repeats one text is learnt from. Bounds: KINDS languages, TOTAL texts and BYTES bytes; see
+    :func:`bounded_sample`. With many languages each has fewer texts, eight at least.
+    """
+    have = train.where(F.col(lang).isNotNull() & F.col(key).isNotNull())
+    found = bounded_sample(have.select(F.col(key).alias("k"), F.col(lang).alias("l")), have.select(F.col(key).alias("k"), F.col(text).alias("t")), ["l"], "k", "t", sample, KINDS, TOTAL, BYTES)
+    return Model([r.text for r in found], [r.stratum[0] for r in found])
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

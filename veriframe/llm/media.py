@@ -27,6 +27,8 @@ from veriframe.llm.common import chunks
 
 UNIT = 192
 PAD = b"\x20"
+#: Bytes that are coded at once.
+PIECE = 1_000_000
 #: Most rows of blocks that a frame header can hold.
 ROWS = 65535 // 8
 _TAG = b"payload"
@@ -55,20 +57,49 @@ def _header(width: int, height: int, interval: int, length: int) -> bytes:
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:
-    """A JPEG file for each payload; a payload's length is a positive multiple of 192."""
-    shapes, parts = [], []
-    for p in payloads:
+    """A JPEG file for each payload; a payload's length is a positive multiple of 192.
+
+    Rows of blocks are coded about PIECE bytes at a time, so a long payload takes no more working memory than short ones.
+    """
+    files: list[list[bytes]] = []
+    todo: list[tuple[int, bytes, int, int, bool]] = []  # file, rows of blocks, blocks of a row, first row's number, last
+    size = 0
+
+    def code() -> None:
+        for (file, *_), scan in zip(todo, _scans([(data, wide, number, last) for _, data, wide, number, last in todo])):
+            files[file].append(scan)
+        todo.clear()
+
+    for file, p in enumerate(payloads):
         if not p or len(p) % UNIT:
             raise ValueError(f"a payload of {len(p)} bytes")
         blocks = len(p) // 64
         wide = 3 * -(-blocks // (3 * ROWS))
         high = -(-blocks // wide)
-        shapes.append((wide, high, len(p)))
-        parts += [p, PAD * (64 * (wide * high - blocks))]
-    data = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 64).astype(np.int64)
+        files.append([_header(8 * wide, 8 * high, wide, len(p))])
+        step = max(1, PIECE // (64 * wide))
+        for row in range(0, high, step):
+            rows = min(step, high - row)
+            data = p[64 * wide * row : 64 * wide * (row + rows)]
+            todo.append((file, data.ljust(64 * wide * rows, PAD), wide, row, row + rows == high))
+            size += len(data)
+            if size >= PIECE:
+                code()
+                size = 0
+    if todo:
+        code()
+    return [b"".join(f) for f in files]
+
+
+def _scans(parts: list[tuple[bytes, int, int, bool]]) -> list[bytes]:
+    """The entropy-coded bytes of rows of blocks, each row closed by its marker.
+
+    parts: bytes of whole rows, blocks of a row, the first row's number, whether the image ends with them.
+    """
+    data = np.frombuffer(b"".join(d for d, *_ in parts), np.uint8).reshape(-1, 64).astype(np.int64)
     n = len(data)
-    rows_of = np.array([s[1] for s in shapes])
-    wide_of = np.repeat([s[0] for s in shapes], rows_of)  # blocks of each interval
+    rows_of = np.array([len(d) // (64 * w) for d, w, *_ in parts])
+    wide_of = np.repeat([w for _, w, *_ in parts], rows_of)  # blocks of each interval
     first = np.concatenate(([0], np.cumsum(wide_of)[:-1]))  # its first block
     interval = np.repeat(np.arange(len(wide_of)), wide_of)
     code, length = data.copy(), np.full((n, 64), 9, np.int64)
@@ -99,13 +130,14 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     out[place] = buf
     last = base[1:] - 1
     mark = place[last] + 1 + full[last]
-    number = np.arange(len(nbytes)) - np.repeat(np.cumsum(rows_of) - rows_of, rows_of)
+    number = np.arange(len(nbytes)) - np.repeat(np.cumsum(rows_of) - rows_of, rows_of) + np.repeat([k for _, _, k, _ in parts], rows_of)
     ends = np.cumsum(rows_of) - 1
     out[mark] = 255
     out[mark + 1] = 0xD0 + number % 8
-    out[mark[ends] + 1] = 0xD9
+    closed = ends[[last for *_, last in parts]]
+    out[mark[closed] + 1] = 0xD9
     stops = mark[ends] + 2
-    return [_header(8 * w, 8 * h, w, size) + out[a:b].tobytes() for (w, h, size), a, b in zip(shapes, np.concatenate(([0], stops[:-1])), stops)]
+    return [out[a:b].tobytes() for a, b in zip(np.concatenate(([0], stops[:-1])), stops)]
 
 
 def parse(data: bytes) -> dict:
@@ -240,10 +272,11 @@ def decode(files: list[bytes]) -> list[dict]:
             stop = np.flatnonzero((after != 0) & ((after < 0xD0) | (after > 0xD7)))
             end = int(ff[stop[0]]) if len(stop) else len(scan)
             inner = (after != 0) & (ff < end)
-            drop = np.concatenate((ff[(after == 0) & (ff < end)] + 1, ff[inner], ff[inner] + 1))
+            drop = np.sort(np.concatenate((ff[(after == 0) & (ff < end)] + 1, ff[inner], ff[inner] + 1)))
+            drop = drop[drop < end]
             keep = np.ones(end, bool)
-            keep[drop[drop < end]] = False
-            resets = np.cumsum(keep)[ff[inner]] if inner.any() else np.zeros(0, np.int64)  # kept bytes before each marker
+            keep[drop] = False
+            resets = ff[inner] - np.searchsorted(drop, ff[inner])  # kept bytes before each marker
             n, step = across * down, h["interval"] or across * down
             count = -(-n // step)
             if len(resets) + 1 < count:
@@ -256,10 +289,16 @@ def decode(files: list[bytes]) -> list[dict]:
             total += n * len(pattern)
             parts += [body, np.full(8, 255, np.uint8)]
             at += len(body) + 8
-        flat = np.concatenate(parts).astype(np.int64)
-        window = flat[:-4] << 32 | flat[1:-3] << 24 | flat[2:-2] << 16 | flat[3:-1] << 8 | flat[4:]
+        every = np.concatenate(parts)
         coefs = np.zeros((total, 64), np.int16)
-        _lanes(window, np.concatenate(starts) * 8, np.concatenate(mcus), pattern, np.concatenate(places), coefs)
+        starts, mcus, places = np.concatenate(starts), np.concatenate(mcus), np.concatenate(places)
+        # lanes of about PIECE bytes at a time; a lane ends before the next begins
+        edges = np.unique(np.append(np.searchsorted(starts, np.arange(0, at, PIECE)), len(starts)))
+        for a, b in zip(edges[:-1], edges[1:]):
+            low, high = int(starts[a]), int(starts[b]) if b < len(starts) else len(every)
+            flat = np.append(every[low : min(high + 8, len(every))], np.full(4, 255, np.uint8)).astype(np.int64)
+            window = flat[:-4] << 32 | flat[1:-3] << 24 | flat[2:-2] << 16 | flat[3:-1] << 8 | flat[4:]
+            _lanes(window, (starts[a:b] - low) * 8, mcus[a:b], pattern, places[a:b], coefs)
         for i, (a, n, across, down, sampling) in zip(members, blocks_of):
             h = heads[i]
             x, y = sampling[0]
@@ -279,9 +318,12 @@ def payload_of(read: dict) -> bytes:
         raise MediaError("no payload")
     (length,) = struct.unpack_from(">Q", read["comment"], len(_TAG))
     c = read["blocks"][: length // 64]
-    b = np.where(c < 0, c + 255, c)
-    b[:, 0] = c[:, 0] + 128
-    return b.astype(np.uint8).tobytes()
+    out = np.empty(c.shape, np.uint8)
+    for i in range(0, len(c), 16384):
+        part = c[i : i + 16384]
+        out[i : i + 16384] = np.where(part < 0, part + 255, part)
+        out[i : i + 16384, 0] = part[:, 0] + 128
+    return out.tobytes()
 
 
 def thumbnail_hash(thumb: np.ndarray) -> str:

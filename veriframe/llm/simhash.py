@@ -342,6 +342,30 @@ def _across(fp: list[int], n: list[int], node: list[int], comp: list[int], one:
     return out
 
 
+def _shared(shards: DataFrame) -> DataFrame:
+    """The (shard, node) rows of shards with more than one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None  # the row before, and whether it has come out
+        out = False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(0).to_numpy(zero_copy_only=False)
+            keep = np.zeros(len(x), bool)
+            same = x[1:] == x[:-1]
+            keep[1:] |= same
+            keep[:-1] |= same
+            if last is not None and last.column(0)[0].as_py() == x[0]:
+                keep[0] = True
+                if not out:
+                    yield last
+            yield b.filter(pa.array(keep))
+            last, out = b.slice(len(x) - 1), bool(keep[-1])
+
+    return shards.select("shard", "node").repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard bigint, node bigint")
+
+
 def _asked(shards: DataFrame, ask) -> DataFrame:
     """(a, b): what ``ask`` finds in each shard. ``shards``: (shard, fp, n, node, comp)."""
 
@@ -406,18 +430,18 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     """
     found = written(signatures(docs, key, text, width), "similar-signatures")
     of_node = written(found.groupBy("node").agg(F.min(F.struct("k", "h")).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).select("node", "first.k", "first.h", "n", "fp", "bands"), "similar-nodes")
-    shards = of_node.select("node", "n", "fp", F.explode("bands").alias("shard"))
-    full = shards.groupBy("shard").count().where("count > 1").select("shard")
-    shards = written(shards.join(full, "shard").select("shard", "fp", "n", "node"), "similar-shards")
+    shards = written(_shared(of_node.select(F.explode("bands").alias("shard"), "node")), "similar-shards")
+    shards = written(shards.join(of_node.select("node", "n", "fp"), "node"), "similar-members")
     names = of_node.select("node", "k", "h")
     links = _verified(_asked(shards.withColumn("comp", F.col("node")), _nearest), docs, names, key, text, width)
-    known = connected_components(links, "similar-components")
+    number = found.count()
+    known = connected_components(links, "similar-components", number)
     for one in (True, False):
         named = shards.join(known, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         mixed = named.groupBy("shard").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("shard")
         more = _verified(_asked(named.join(mixed, "shard", "left_semi"), lambda fp, n, node, comp, one=one: _across(fp, n, node, comp, one)), docs, names, key, text, width)
         links = links.union(more)
-        known = connected_components(links, "similar-components")
+        known = connected_components(links, "similar-components", number)
     of = written(of_node.select("node", "k").join(known, "node", "left").select("node", "k", F.coalesce("component", "node").alias("group")), "similar-groups")
     of = of.join(of.groupBy("group").agg(F.min("k").alias("component")), "group").select("node", "group", "component")
     return found.select("k", "h", "node").join(of, "node").select("k", "h", "group", "component")

@@ -9,6 +9,7 @@ threshold that suits the text's language; the language is told from the words' h
 from __future__ import annotations
 
 import functools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,20 +17,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import bounded_sample, chunks, remainder
+from veriframe.llm.common import bounded_sample, chunks, pieces, remainder
 from veriframe.llm.langid import _letters
 
 BUCKETS = 1 << 18
 DIMS = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 4
-#: Labelled texts learnt from for each language and label, about; the only bounded part.
-SAMPLE = 700
+#: Labelled texts learnt from for each language and label, about; of how many languages and labels, the most frequent; of
+#: all together; their bytes. The only bounded part.
+SAMPLE, KINDS, TOTAL, BYTES = 700, 24, 8000, 48_000_000
 EPOCHS = 4
 #: A language has a threshold of its own if so many toxic texts are there to set it.
 ENOUGH = 15
 _PREFIXES = (3, 4, 5)
 _PAD = max(WIDTHS) - 1
+#: Characters of a longer text that are scored at once.
+PIECE = 400_000
 
 
 @functools.cache
@@ -83,33 +87,63 @@ class Model:
         self.prior = np.zeros(0)
         self.cut: dict[str | None, tuple[float, float]] = {None: (1.0, 0.0)}
 
-    def _layout(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word vectors with zeros between texts, and where each text begins."""
+    def _layout(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word vectors with zeros between texts, where each text begins, and which rows are words."""
         starts = np.cumsum(counts + _PAD) - (counts + _PAD)
         x = np.zeros((int((counts + _PAD).sum()) + _PAD, DIMS), np.float32)
         row = np.arange(len(hashes)) + np.repeat(np.arange(len(counts)) * _PAD, counts)
-        x[row] = self.table[hashes].mean(1)
-        return x, starts
+        x[row] = self._vectors(hashes)
+        inside = np.zeros(len(x) - _PAD, bool)
+        inside[row] = True
+        return x, starts, inside
 
-    def _maxima(self, x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    def _maxima(self, x: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Each filter's maximum over the windows that begin at a text's words, 0 at least, and the filters' maps."""
         maps, n = [], len(x) - _PAD
         for f, b in zip(self.filters, np.split(self.bias, len(WIDTHS))):
             y = sum(x[k : k + n] @ f[k] for k in range(len(f))) + b
-            maps.append(np.maximum(y, 0))
+            maps.append(np.maximum(y, 0) * inside[:, None])
         return np.concatenate([np.maximum.reduceat(y, starts) for y in maps], axis=1), maps
 
     def raw(self, texts: list[str]) -> tuple[np.ndarray, list[str | None]]:
         """The logistic layer's sums and the languages told from the words."""
-        hashes, counts = word_hashes(texts)
-        x, starts = self._layout(hashes, counts)
-        z = self._maxima(x, starts)[0] @ self.weights + self.shift
-        if not self.langs:
-            return z, [None] * len(texts)
+        if len(texts) > 1 and max(map(len, texts)) > PIECE:
+            found = [self.raw([t]) for t in texts]
+            return np.concatenate([z for z, _ in found]), [v for _, langs in found for v in langs]
+        top = np.zeros((len(texts), len(self.bias)), np.float32)
         sums = np.zeros((len(texts), len(self.langs)))
-        some = counts > 0
-        if some.any():
-            sums[some] = np.add.reduceat(self.by_word[hashes[:, 0]], (np.cumsum(counts) - counts)[some])
-        return z, [self.langs[k] for k in (sums + self.prior).argmax(1)]
+        if len(texts) == 1:
+            # words of a long text in parts that overlap by a filter's width, so that no window is missed
+            tail = np.zeros((0, 5), np.int32)
+            parts = list(pieces(texts[0], PIECE))
+            for i, part in enumerate(parts):
+                own = word_hashes([part])[0]
+                sums[0] += self._told(own)
+                hashes = np.concatenate([tail, own])
+                x = self._vectors(hashes)
+                if i == len(parts) - 1:
+                    x = np.concatenate([x, np.zeros((_PAD, DIMS), np.float32)])
+                if len(x) > _PAD:
+                    np.maximum(top, self._maxima(x, np.zeros(1, np.int64), np.ones(len(x) - _PAD, bool))[0], out=top)
+                tail = hashes[len(hashes) - min(len(hashes), _PAD) :]
+        else:
+            hashes, counts = word_hashes(texts)
+            top = self._maxima(*self._layout(hashes, counts))[0]
+            first = np.cumsum(counts) - counts
+            for k in np.flatnonzero(counts):
+                sums[k] = self._told(hashes[first[k] : first[k] + counts[k]])
+        z = top @ self.weights + self.shift
+        return z, [self.langs[k] for k in (sums + self.prior).argmax(1)] if self.langs else [None] * len(texts)
+
+    def _told(self, hashes: np.ndarray) -> np.ndarray:
+        """How much some words speak for each language."""
+        return self.by_word[hashes[:, 0]].sum(0, dtype=np.float64) if self.langs else np.zeros(0)
+
+    def _vectors(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(hashes), DIMS), np.float32)
+        for k in range(hashes.shape[1]):
+            out += self.table[hashes[:, k]]
+        return out / np.float32(hashes.shape[1])
 
     def score(self, texts: list[str]) -> np.ndarray:
         z, langs = self.raw(texts)
@@ -159,8 +193,8 @@ class Model:
         self.table[:, 0] += np.clip(odds * sure, -4, 4).astype(np.float32)
 
     def _step(self, hashes: np.ndarray, counts: np.ndarray, toxic: np.ndarray, memory: dict[str, np.ndarray], rate: float = 0.02) -> None:
-        x, starts = self._layout(hashes, counts)
-        top, maps = self._maxima(x, starts)
+        x, starts, inside = self._layout(hashes, counts)
+        top, maps = self._maxima(x, starts, inside)
         p = 1 / (1 + np.exp(-np.clip(top @ self.weights + self.shift, -30, 30)))
         g = ((p - toxic) / len(toxic)).astype(np.float32)
         length = counts + _PAD
@@ -240,22 +274,17 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Fits on about ``sample`` labelled texts of each language and label whose crc32 of the key has a remainder other than 0.
 
     A key labelled more than once has its largest label; null labels and keys are left out. The languages of the texts
-    learnt from only teach the model to tell languages by words.
+    learnt from only teach the model to tell languages by words. Of a key that repeats one text is learnt from. Bounds:
+    KINDS languages and labels, TOTAL texts and BYTES bytes; see :func:`bounded_sample`.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (remainder(key, modulus) != 0)).groupBy(F.col(key).cast("bigint").alias("_k")).agg(F.max(F.when(F.col(label) != 0, 1).otherwise(0)).alias("_y"))
     listed = docs.select(F.col(key).cast("bigint").alias("_id"), F.col(lang).alias("_lang"))
     have = listed.join(known, F.col("_id") == F.col("_k")).select("_id", "_lang", "_y")
-    picked = bounded_sample(have, ["_lang", "_y"], "_id", sample)
-    picked = F.broadcast(picked.groupBy(F.col("_id").alias("_p")).agg(F.max("_y").alias("_y"), F.max("_n").alias("_n")))
-    narrow = docs.select(F.col(key).cast("bigint").alias("_id"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    rows = narrow.join(picked, F.col("_id") == F.col("_p")).select("_p", "t", "l", "_y", "_n").collect()
-    # an order that has nothing to do with the partitions
-    rows.sort(key=lambda r: (r["_p"] * 2654435761 % 4294967296, r["_p"], r["t"] or ""))
-    texts, langs, toxic = [r["t"] or "" for r in rows], [r["l"] for r in rows], np.array([r["_y"] for r in rows], np.float32)
-    drawn: dict[tuple, int] = {}
-    for r in rows:
-        drawn[r["l"], r["_y"]] = drawn.get((r["l"], r["_y"]), 0) + 1
-    weight = np.array([r["_n"] / drawn[r["l"], r["_y"]] for r in rows])
+    found = bounded_sample(have, docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")), ["_lang", "_y"], "_id", "_text", sample, KINDS, TOTAL, BYTES)
+    # an order that has nothing to do with the strata
+    texts, langs, toxic = [r.text for r in found], [r.stratum[0] for r in found], np.array([r.stratum[1] for r in found], np.float32)
+    drawn = Counter(r.stratum for r in found)
+    weight = np.array([r.rows / drawn[r.stratum] for r in found])
     model = Model()
     model.train(texts, toxic, langs, weight)
     return model
