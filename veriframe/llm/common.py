@@ -83,7 +83,7 @@ def share_of_hash(*cols: str) -> Column:
 
 
 class Sampled(NamedTuple):
-    """A text of a sample, with its stratum, the stratum's number of rows and a hash that orders the sample."""
+    """A text of a sample, with its stratum, the stratum's number of keys (about) and a hash that orders the sample."""
 
     key: int
     text: str
@@ -100,7 +100,8 @@ def bounded_sample(rows: DataFrame, docs: DataFrame, strata: list[str], key: str
     ``size`` bytes of text, shared evenly by the strata: what does not fit in its stratum's share is left out.
     """
     spark = rows.sparkSession
-    counts = rows.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), *strata).limit(kinds).collect()
+    # different keys, about: a key that repeats must not thin out its stratum
+    counts = rows.groupBy(*strata).agg(F.approx_count_distinct(key, 0.02).alias("_n"), F.count(F.lit(1)).alias("_m")).orderBy(F.desc("_m"), *strata).limit(kinds).drop("_m").collect()
     if not counts:
         return []
     most = max(1, min(most, total // len(counts)))

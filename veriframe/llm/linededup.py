@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,40 +35,45 @@ FRAME = 9
 START = 16
 
 _WORD = re.compile(r"\S+")
-_STOPS = (b".", b"!", b"?", "…".encode())
 
 
 def _ranked_first(rank: np.ndarray, frame: int) -> np.ndarray:
     """Places of the smallest of each ``frame`` numbers in a row, the leftmost of equals; of fewer numbers the smallest."""
     frame = min(frame, len(rank))
-    return np.unique(np.arange(len(rank) - frame + 1) + np.lib.stride_tricks.sliding_window_view(rank, frame).argmin(1))
+    out = np.zeros(len(rank), bool)
+    out[np.arange(len(rank) - frame + 1) + np.lib.stride_tricks.sliding_window_view(rank, frame).argmin(1)] = True
+    return np.flatnonzero(out)
 
 
 def units(text: str, line: int = LINE, paragraph: int = PARAGRAPH) -> list[tuple[int, int, bytes]]:
     """(first word, word behind the last, 16-byte digest) of each unit of a text, in order; no two units are alike."""
-    rows = [x.split() for x in text.lower().split("\n")]
-    counts = np.array([len(x) for x in rows])
+    rows = [" ".join(x.split()) for x in text.lower().split("\n")]
+    rows = [x for x in rows if x]
+    counts = np.array([x.count(" ") + 1 for x in rows], np.int64)
     n = int(counts.sum())
     if n < line:
         return []
-    joined = " ".join(chain.from_iterable(rows)).encode("utf-8", "surrogatepass")
+    joined = " ".join(rows).encode("utf-8", "surrogatepass")
     words = joined.split(b" ")
     stop = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     start = np.concatenate(([0], stop[:-1] + 1))
     ends = np.cumsum(counts)
     begins = ends - counts
     first = np.zeros(n + 1, bool)
-    first[begins[counts > 0]] = True
-    first[1:] |= np.fromiter((w.endswith(_STOPS) for w in words), bool, n)
+    first[begins] = True
+    code = np.frombuffer(joined, np.uint8)
+    last = code[stop - 1]
+    first[1:] |= (last == 46) | (last == 33) | (last == 63) | ((last == 0xA6) & (code[stop - 2] == 0x80) & (code[stop - 3] == 0xE2))  # . ! ? and the three bytes of …
     h = np.fromiter(map(zlib.crc32, words), np.uint64, n)
     h = (h * np.uint64(0x9E3779B97F4A7C15) + np.append(h[1:], np.uint64(0)) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(8)
     h[~first[:n]] |= np.uint64(1 << 63)
     starts, cuts = _ranked_first(h, START), np.append(_ranked_first(h, FRAME), n)
     to = np.searchsorted(cuts, starts + paragraph)
     long = to < len(cuts)
-    found = {(int(a), int(b)) for a, b, c in zip(begins, ends, counts) if c >= line} | set(zip(starts[long].tolist(), cuts[to[long]].tolist()))
-    digest = xxhash.xxh3_128_digest
-    return [(i, j, digest(joined[a:b])) for (i, j), a, b in ((x, start[x[0]], stop[x[1] - 1]) for x in sorted(found))]
+    whole = counts >= line
+    found = set(zip(begins[whole].tolist(), ends[whole].tolist())) | set(zip(starts[long].tolist(), cuts[to[long]].tolist()))
+    digest, begin, end = xxhash.xxh3_128_digest, start.tolist(), stop.tolist()
+    return [(i, j, digest(joined[begin[i] : end[j - 1]])) for i, j in sorted(found)]
 
 
 def _who(docs: DataFrame, key: str, text: str) -> F.Column:
