@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +60,17 @@ def written(df: DataFrame, name: str, rows: int | None = None, per_file: int = 1
     return spark.read.schema(df.schema).parquet(path)
 
 
+def on_disk(df: DataFrame) -> DataFrame:
+    """``df``, computed once and kept on the executors' disks, for a table that a step reads several times.
+
+    What a lost executor kept is computed again from the written tables before it; the lineage is not cut. Unlike
+    :func:`written` it makes no files in the shared folder. The caller may unpersist it when its readers are done.
+    """
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import WORD, written
+from veriframe.llm.common import WORD, on_disk, written
 
 #: Weights of the sources by code point, null last; they repeat.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -63,7 +63,7 @@ def _joined(rows: DataFrame, per_source: DataFrame, few: bool) -> DataFrame:
 
 def thresholds(docs: DataFrame, key: str, text: str, source: str, weights: tuple[float, ...], budget: float, repeats: float) -> tuple[DataFrame, DataFrame, bool]:
     """Each document's (key, source, size, h); each source's target and threshold; whether the sources are few."""
-    rows = written(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), words_of(text).alias("size"), F.substring(digits_of(key), 1, DIGITS * ROUNDS).alias("h")), "mix-sizes")
+    rows = on_disk(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), words_of(text).alias("size"), F.substring(digits_of(key), 1, DIGITS * ROUNDS).alias("h")))
     goal = written(targets(rows, weights, budget, repeats), "mix-targets")
     sources = goal.count()
     few = sources <= FEW

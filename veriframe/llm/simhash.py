@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import chunks, connected_components, fields, written
+from veriframe.llm.common import chunks, connected_components, on_disk, written
 
 #: Bits of each block, from the lowest; they add up to 64.
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -404,11 +404,10 @@ def _asked(shards: DataFrame, ask) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, of_node: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """The pairs whose shingle sets are alike."""
-    pairs = written(pairs, "similar-pairs")
+    pairs = on_disk(pairs)
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    of = written(asked.join(of_node, "node"), "similar-asked")
     texts = docs.select(F.col(key).cast("bigint").alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    texts = written(texts.join(of, ["k", "h"]).dropDuplicates(["node"]).select("node", "t"), "similar-texts", compression="zstd")
+    texts = on_disk(texts.join(on_disk(asked.join(of_node, "node")), ["k", "h"]).dropDuplicates(["node"]).select("node", "t"))
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,7 +416,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, of_node: DataFrame, key: str, t
             ok = [jaccard(of(b.column(2)[i].as_py() or ""), of(b.column(3)[i].as_py() or "")) >= ALIKE for i in range(b.num_rows)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return written(both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint"), "similar-links")
+    return written(both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint"), "similar-links", pairs.count(), 50_000)
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -429,9 +428,9 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     the last round grows with the square of the shard's sets that are not linked.
     """
     found = written(signatures(docs, key, text, width), "similar-signatures")
-    of_node = written(found.groupBy("node").agg(F.min(F.struct("k", "h")).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).select("node", "first.k", "first.h", "n", "fp", "bands"), "similar-nodes")
-    shards = written(_shared(of_node.select(F.explode("bands").alias("shard"), "node")), "similar-shards")
-    shards = written(shards.join(of_node.select("node", "n", "fp"), "node"), "similar-members")
+    of_node = on_disk(found.groupBy("node").agg(F.min(F.struct("k", "h")).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).select("node", "first.k", "first.h", "n", "fp", "bands"))
+    shards = _shared(of_node.select(F.explode("bands").alias("shard"), "node"))
+    shards = on_disk(shards.join(of_node.select("node", "n", "fp"), "node"))
     names = of_node.select("node", "k", "h")
     links = _verified(_asked(shards.withColumn("comp", F.col("node")), _nearest), docs, names, key, text, width)
     number = found.count()
@@ -442,7 +441,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         more = _verified(_asked(named.join(mixed, "shard", "left_semi"), lambda fp, n, node, comp, one=one: _across(fp, n, node, comp, one)), docs, names, key, text, width)
         links = links.union(more)
         known = connected_components(links, "similar-components", number)
-    of = written(of_node.select("node", "k").join(known, "node", "left").select("node", "k", F.coalesce("component", "node").alias("group")), "similar-groups")
+    of = written(of_node.select("node", "k").join(known, "node", "left").select("node", "k", F.coalesce("component", "node").alias("group")), "similar-groups", number)
     of = of.join(of.groupBy("group").agg(F.min("k").alias("component")), "group").select("node", "group", "component")
     return found.select("k", "h", "node").join(of, "node").select("k", "h", "group", "component")
 
