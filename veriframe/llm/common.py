@@ -55,7 +55,8 @@ def written(df: DataFrame, name: str, rows: int | None = None, per_file: int = 1
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // per_file)))
     path = f"{shared_folder(spark).rstrip('/')}/veriframe/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    # a table of our own needs no marker of success
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path, compression=compression)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import chunks, connected_components, on_disk, written
+from veriframe.llm.common import chunks, connected_components, written
 
 #: Bits of each block, from the lowest; they add up to 64.
 BLOCKS = (11, 11, 11, 11, 10, 10)
@@ -404,10 +404,10 @@ def _asked(shards: DataFrame, ask) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, of_node: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """The pairs whose shingle sets are alike."""
-    pairs = on_disk(pairs)
+    pairs = written(pairs, "similar-pairs")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = docs.select(F.col(key).cast("bigint").alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    texts = on_disk(texts.join(on_disk(asked.join(of_node, "node")), ["k", "h"]).dropDuplicates(["node"]).select("node", "t"))
+    texts = written(texts.join(asked.join(of_node, "node"), ["k", "h"]).dropDuplicates(["node"]).select("node", "t"), "similar-texts", compression="zstd")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,9 +428,10 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     the last round grows with the square of the shard's sets that are not linked.
     """
     found = written(signatures(docs, key, text, width), "similar-signatures")
-    of_node = on_disk(found.groupBy("node").agg(F.min(F.struct("k", "h")).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).select("node", "first.k", "first.h", "n", "fp", "bands"))
+    number = found.count()
+    of_node = written(found.groupBy("node").agg(F.min(F.struct("k", "h")).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).select("node", "first.k", "first.h", "n", "fp", "bands"), "similar-nodes", number, 100_000)
     shards = _shared(of_node.select(F.explode("bands").alias("shard"), "node"))
-    shards = on_disk(shards.join(of_node.select("node", "n", "fp"), "node"))
+    shards = written(shards.join(of_node.select("node", "n", "fp"), "node"), "similar-shards")
     names = of_node.select("node", "k", "h")
     links = _verified(_asked(shards.withColumn("comp", F.col("node")), _nearest), docs, names, key, text, width)
     number = found.count()

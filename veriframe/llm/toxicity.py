@@ -26,7 +26,7 @@ WIDTHS = (1, 2, 3)
 FILTERS = 4
 #: Labelled texts learnt from for each language and label, about; of how many languages and labels, the most frequent; of
 #: all together; their bytes. The only bounded part.
-SAMPLE, KINDS, TOTAL, BYTES = 700, 24, 8000, 48_000_000
+SAMPLE, KINDS, TOTAL, BYTES = 400, 24, 6000, 24_000_000
 EPOCHS = 4
 #: A language has a threshold of its own if so many toxic texts are there to set it.
 ENOUGH = 15
