@@ -6,8 +6,11 @@ terms to them and adds up. Nothing is densified. Statistics and peaks are over t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +25,12 @@ FEW_QUERIES = 10_000
 
 
 def frequencies(docs: DataFrame, words: Column, key: str = "doc_id") -> DataFrame:
-    """(key, term, tf)."""
-    return docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, term, tf).
+
+    Its readers in one plan share its shuffle; that terms are not null is said here, as each join would add it for itself
+    and so make another shuffle of its own.
+    """
+    return docs.select(key, F.explode(words).alias("term")).where(F.col("term").isNotNull()).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def _restricted(terms_: DataFrame, only: DataFrame | None) -> DataFrame:
@@ -31,24 +38,46 @@ def _restricted(terms_: DataFrame, only: DataFrame | None) -> DataFrame:
     return terms_ if only is None else terms_.join(F.broadcast(only), "term", "left_semi")
 
 
+#: A term that each document has once, for the number of documents and their average length; no token is empty.
+_EACH = ""
+
+
+def _counted(docs: DataFrame, words: Column, key: str, only: DataFrame | None) -> DataFrame:
+    """(key, len, term, tf), with a row of the term _EACH for each document: one pass over the texts."""
+    each = docs.select(key, words.alias("t")).select(key, F.size("t").alias("len"), F.explode(F.concat("t", F.array(F.lit(_EACH)))).alias("term")).where(F.col("term").isNotNull())
+    if only is not None:
+        only = only.unionByName(only.sparkSession.createDataFrame([(_EACH,)], "term string")).distinct()
+    return _restricted(each, only).groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _weighed(counts: DataFrame) -> DataFrame:
+    """(term, df, idf, n_docs, avg_len) of (term, len) rows, one for each document and term; _EACH is among them."""
+    # tf is asked for, so that the counts are the same shuffle for all their readers
+    by_term = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.sum("len").alias("_lengths"))
+    of_all = F.col("term") == F.lit(_EACH)
+    whole = by_term.agg(F.coalesce(F.max(F.when(of_all, F.col("df"))), F.lit(0)).alias("n_docs"), F.max(F.when(of_all, F.col("_lengths") / F.col("df"))).alias("avg_len"))
+    return by_term.drop("_lengths").crossJoin(F.broadcast(whole)).withColumn("idf", F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+
+
 def bm25_statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", stop: tuple[str, ...] = STOP_WORDS, only: DataFrame | None = None) -> DataFrame:
     """A-19: (term, df, idf, n_docs, avg_len); documents without terms count in n_docs and avg_len. only: terms wanted."""
-    whole = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(terms(text, stop))).alias("avg_len"))
-    df = _restricted(docs.select(F.explode(F.array_distinct(terms(text, stop))).alias("term")), only).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.crossJoin(F.broadcast(whole)).withColumn("idf", F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    each = docs.select(terms(text, stop).alias("t")).select(F.size("t").alias("len"), F.explode(F.concat(F.array_distinct("t"), F.array(F.lit(_EACH)))).alias("term")).withColumn("tf", F.lit(1))
+    if only is not None:
+        only = only.unionByName(only.sparkSession.createDataFrame([(_EACH,)], "term string")).distinct()
+    # written out of the condition's reach, which would otherwise be applied before the count of documents
+    return _weighed(_restricted(each, only)).where(F.when(F.col("term") != F.lit(_EACH), F.col("idf")).isNotNull())
 
 
 def bm25_postings(docs: DataFrame, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, stop: tuple[str, ...] = STOP_WORDS, only: DataFrame | None = None) -> DataFrame:
     """R-03: (term, key, weight): idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg_len)).
 
     With ``only`` the postings of those terms alone, by the same statistics: what one search needs, without the shuffle
-    of all postings.
+    of all postings. Postings and statistics come from the same counts, which read each text once.
     """
-    each = docs.select(key, terms(text, stop).alias("t")).select(key, F.size("t").alias("len"), F.explode("t").alias("term"))
-    tf = _restricted(each, only).groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = bm25_statistics(docs, key, text, stop, only)
+    counts = _counted(docs, terms(text, stop), key, only)
     norm = k1 * (1 - b + b * F.when(F.col("avg_len") > 0, F.col("len") / F.col("avg_len")).otherwise(1.0))
-    return tf.join(stats, "term").select("term", key, (F.col("idf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + norm)).alias("weight"))
+    weight = F.when(F.col("term") != F.lit(_EACH), F.col("idf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + norm))
+    return counts.join(_weighed(counts), "term").select("term", key, weight.alias("weight")).where(F.col("weight").isNotNull())
 
 
 def tfidf_vocabulary(docs: DataFrame, key: str = "doc_id", text: str = "text", features: int = FEATURES, stop: tuple[str, ...] = STOP_WORDS) -> DataFrame:
@@ -62,8 +91,9 @@ def tfidf_vocabulary(docs: DataFrame, key: str = "doc_id", text: str = "text", f
 def _unit(frequencies_: DataFrame, vocabulary: DataFrame, features: int, key: str) -> DataFrame:
     """(term, key, weight) of rows of length one. A vocabulary of at most FEATURES terms is broadcast (about a megabyte)."""
     raw = frequencies_.join(F.broadcast(vocabulary) if features <= FEATURES else vocabulary, "term").withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select("term", key, (F.col("w") / F.col("norm")).alias("weight"))
+    norm = raw.groupBy(F.col(key).alias("_n")).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    # null-safe, as a plain join would add a condition to one reader of the counts and so make a second shuffle
+    return raw.join(norm, F.col(key).eqNullSafe(F.col("_n"))).select("term", key, (F.col("w") / F.col("norm")).alias("weight"))
 
 
 def tfidf_postings(docs: DataFrame, key: str = "doc_id", text: str = "text", features: int = FEATURES, stop: tuple[str, ...] = STOP_WORDS, only: DataFrame | None = None) -> DataFrame:
@@ -193,15 +223,58 @@ def keep(source: str | None = None, exclude_kinds: list[str | None] | None = Non
     return out & ~among(F.col(kind_col), exclude_kinds) if exclude_kinds else out
 
 
+def _unit_rows(column: pa.Array, dims: int) -> np.ndarray:
+    """Rows of length one as doubles; null, zero and non-finite vectors, and those of other dimensions, are zero."""
+    out = np.zeros((len(column), dims))
+    lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    good = np.flatnonzero(lengths == dims)
+    if dims and len(good):
+        x = column.take(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+        norm = np.sqrt((x * x).sum(1, keepdims=True))
+        out[good] = np.divide(x, norm, out=np.zeros_like(x), where=np.isfinite(norm) & (norm > 0))
+    return out
+
+
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """R-06: the k vectors with the largest cosine to each query vector, (query_id, key, score, rank).
 
-    A stated query set against all rows: up to FEW_QUERIES queries are broadcast, more meet the rows partition by
-    partition.
+    A stated query set against all rows, in blocks: FEW_QUERIES queries of a block are broadcast to all rows, which are
+    multiplied in Arrow batches; each task gives its k best rows of each query. A vector that is null, zero or of other
+    dimensions has the cosine 0. Ties to nine places go to the smaller key.
     """
-    d = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
     q = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_q"))
-    q = F.broadcast(q) if queries.count() <= FEW_QUERIES else q.hint("shuffle_replicate_nl")
-    norm = F.sqrt(d(F.col(vector), F.col(vector))) * F.sqrt(d(F.col("_q"), F.col("_q")))
-    s = vectors.crossJoin(q).select("query_id", key, F.when(norm > 0, d(F.col(vector), F.col("_q")) / norm).otherwise(0.0).alias("score"))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), key))).where(F.col("rank") <= k)
+    number = max(1, -(-queries.count() // FEW_QUERIES))
+    found = None
+    for i in range(number):
+        block = q if number == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(number)) == i)
+        part = _cosine_block(vectors.select(F.col(key).alias(key), F.col(vector).alias(vector)), block, k, key, vector)
+        found = part if found is None else found.unionByName(part)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), key))).where(F.col("rank") <= k)
+
+
+def _cosine_block(vectors: DataFrame, queries: DataFrame, k: int, key: str, vector: str) -> DataFrame:
+    asked = queries.toArrow()
+    dims = max(asked.column("_q").combine_chunks().value_lengths().fill_null(0).to_pylist(), default=0)
+    shared = vectors.sparkSession.sparkContext.broadcast((asked.column("query_id").combine_chunks(), _unit_rows(asked.column("_q").combine_chunks(), dims)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, units = shared.value
+        best = np.full((0, len(names)), -np.inf)
+        keys = np.zeros((0, len(names)), np.int64)
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for i in range(0, len(ids), 1024):
+                own = ids[i : i + 1024]
+                score = np.concatenate([best, _unit_rows(b.column(1).slice(i, len(own)), dims) @ units.T])
+                name = np.concatenate([keys, np.repeat(own[:, None], len(names), axis=1)])
+                if len(score) > 8 * k:  # only rows that can be among the best; all that tie with the last
+                    rounded = score.round(9)
+                    some = np.flatnonzero((rounded >= -np.partition(-rounded, k - 1, axis=0)[k - 1]).any(1))
+                    score, name = score[some], name[some]
+                order = np.lexsort((name, -score.round(9)), axis=0)[:k]
+                best, keys = np.take_along_axis(score, order, 0), np.take_along_axis(name, order, 0)
+        if len(best):
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(np.tile(np.arange(len(names)), len(best)))), pa.array(keys.ravel()), pa.array(best.ravel())], names=["query_id", key, "score"])
+
+    kind = vectors.schema[key].dataType.simpleString()
+    return vectors.where(F.col(key).isNotNull()).mapInArrow(run, f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {kind}, score double")
