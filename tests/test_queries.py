@@ -3,6 +3,7 @@
 import compare
 import pytest
 
+from veriframe.plans import code_queries  # noqa: F401  registers its queries
 from veriframe.plans import queries as Q
 
 

@@ -5,6 +5,9 @@ A check that could not run is null; it is neither a pass nor a failure.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,15 +98,27 @@ def fact_phrase(construct: str = "construct", fields: str = "fields") -> Column:
 
 
 def budget_fill(files: DataFrame, by: list[str], order: str, size: str, most: int) -> DataFrame:
-    """W-09: files with ``taken``: in order, each that still fits into ``most``; a later smaller one may fit. Folded by group."""
-    g = files.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).alias("s")))).alias("f"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<o:string,taken:boolean>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["s"] <= most
-        return F.struct((acc["used"] + F.when(fits, x["s"]).otherwise(0)).cast("bigint").alias("used"), F.concat(acc["out"], F.array(F.struct(x["o"].cast("string").alias("o"), fits.alias("taken")))).alias("out"))
+    """W-09: files with ``taken``: in order, each that still fits into ``most``; a later smaller one may fit.
 
-    return g.select(*by, F.explode(F.aggregate("f", start, step)["out"]).alias("r")).select(*by, F.col("r.o").alias(order), F.col("r.taken").alias("taken"))
+    Each choice depends on all before it, so a group is walked in its order, in one task; its rows pass through sorted, and
+    only the room that is left is remembered. A file without a size takes none.
+    """
+    rows = files.select(*by, order, F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_s"))
+    n = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, left = object(), 0
+        for b in batches:
+            taken = []
+            for *key, s in zip(*(b.column(i).to_pylist() for i in (*range(n), n + 1))):
+                if key != group:
+                    group, left = key, most
+                taken.append(s <= left)
+                left -= s if taken[-1] else 0
+            yield pa.RecordBatch.from_arrays([*b.columns[: n + 1], pa.array(taken, pa.bool_())], names=[*by, order, "taken"])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (*by, order))
+    return rows.repartition(*by).sortWithinPartitions(*by, order).mapInArrow(run, f"{kinds}, taken boolean")
 
 
 def location_check(citations: DataFrame, files: DataFrame) -> DataFrame:

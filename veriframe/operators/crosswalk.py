@@ -67,16 +67,17 @@ def audit(gold: DataFrame, crosswalk: DataFrame) -> DataFrame:
     return gold.join(allowed, F.col("id") == F.col("_i"), "left").withColumn("bucket", bucket).drop("_i", "_t")
 
 
-def in_order(rows: DataFrame, order: str, name: str = "n", width: int = 100_000) -> DataFrame:
-    """Rows with their number, from 1, in the order of a whole-number column without repeats.
+def in_order(rows: DataFrame, order: str, name: str = "n") -> DataFrame:
+    """Rows with their number, from 1, in the order of a column without repeats.
 
-    Rows are numbered within ranges of ``width`` values and ranges by their counts, so only one row a range meets in a
-    task.
+    Rows are sorted in ranges that Spark chooses by sampling, and ranges are numbered by their counts, so only one row a
+    range meets in a task. The ranges are kept, as the counts and the numbers must be of the same ones.
     """
-    r = rows.withColumn("_range", F.floor(F.col(order) / width))
+    r = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()).persist()
+    r = r.withColumn("_range", F.shiftright("_at", 33))
     before = r.groupBy("_range").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    return r.withColumn("_own", own).join(before, "_range").withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")
+    own = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return r.withColumn("_own", own).join(before, "_range").withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_own", "_before", "_at")
 
 
 def first_flows(rows: DataFrame, source: str, dest: str, order: str, prefix: str = "GF") -> DataFrame:

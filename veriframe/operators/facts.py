@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriframe.functions.text import PLAIN_PLURALS, canonical_path, fact_id, json_object, pluralize, resolve_path, url_base
+from veriframe.operators.crosswalk import in_order
 
 _LIST = "array<string>"
 
@@ -57,7 +58,7 @@ def dispatched(calls: DataFrame, table: DataFrame, key: str, method: str = "meth
     r = table.withColumn("_h", seg("full_path")).withColumn("_n", F.size("_h"))
     r = r.withColumn("_mask", F.transform("_h", lambda s: s == "{p}"))
     c = calls.withColumn("_w", seg(path)).withColumn("_n", F.size("_w")).withColumn("_m", F.upper(method))
-    masks = F.broadcast(r.select("_n", "_mask").distinct())
+    masks = r.select("_n", "_mask").distinct()
     probes = c.join(masks, "_n").withColumn("_key", F.array_join(F.zip_with("_w", "_mask", lambda w, m: F.when(m, "{p}").otherwise(w)), "/"))
     table_ = r.select(F.col("method").alias("_m"), F.array_join("_h", "/").alias("_key"), F.struct("file", "line", "id", "mount_path", "full_path").alias("_route"))
     hit = probes.join(table_, ["_m", "_key"]).groupBy(key).agg(F.min("_route").alias("_route"))
@@ -193,7 +194,7 @@ def implied_flows(facts: DataFrame, parts: DataFrame) -> DataFrame:
     all_of = asks.unionByName(access).unionByName(uses).select("id", F.struct("at", "f.sub").alias("at"), "f.source", "f.destination", "f.intent", "f.description")
     merged = all_of.groupBy("source", "destination", "intent").agg(F.min_by("description", "at").alias("description"), F.min("at").alias("first"), F.array_sort(F.collect_list(F.struct("at", "id"))).alias("ids"))
     ids = F.array_distinct(F.transform("ids", lambda x: x["id"]))
-    return merged.select(F.concat(F.lit("DF"), F.row_number().over(Window.orderBy("first")).cast("string")).alias("id"), "source", "destination", "intent", "description", ids.alias("fact_ids"))
+    return in_order(merged, "first").select(F.concat(F.lit("DF"), F.col("n").cast("string")).alias("id"), "source", "destination", "intent", "description", ids.alias("fact_ids"))
 
 
 def rendered(facts: DataFrame, suppressed: tuple[str, ...] = ("module_export",)) -> DataFrame:
@@ -207,7 +208,7 @@ def rendered(facts: DataFrame, suppressed: tuple[str, ...] = ("module_export",))
 
 def ranking(rows: DataFrame, combos: DataFrame, weights: DataFrame) -> DataFrame:
     """F-18, J-25: rows with ``computed``: value of (feasibility, difficulty) times the weight of the type, to three places."""
-    out = rows.join(F.broadcast(combos), ["feasibility", "difficulty"], "left").join(F.broadcast(weights), "threat_type", "left")
+    out = rows.join(combos, ["feasibility", "difficulty"], "left").join(weights, "threat_type", "left")
     return out.withColumn("computed", F.round(F.col("combo") * F.col("weight"), 3)).drop("combo", "weight")
 
 

@@ -7,6 +7,10 @@ is cut by the location, so no task gets more than one location's rows.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,28 +69,52 @@ def match(generated: DataFrame, gold: DataFrame, flows: DataFrame | None = None,
     return rank_match(n, g, keys, "gen_index", "pos").join(g.select("pos", "gold_id"), "pos").select("gen_index", "gold_id")
 
 
-def _take_first(candidates: Column, gold: Column, fits) -> Column:
-    """A fold over ordered candidates: each takes the first free gold row that fits; array of (gen_index, gold_id)."""
-    start = F.struct(F.array().cast("array<struct<gen_index:int,gold_id:int>>").alias("pairs"), F.array().cast("array<int>").alias("used"))
-
-    def step(acc: Column, c: Column) -> Column:
-        free = F.filter(gold, lambda g: ~F.array_contains(acc["used"], g["id"]) & fits(c, g))
-        return F.when(F.size(free) == 0, acc).otherwise(F.struct(F.concat(acc["pairs"], F.array(F.struct(c["gen_index"].cast("int").alias("gen_index"), F.element_at(free, 1)["id"].cast("int").alias("gold_id")))).alias("pairs"), F.concat(acc["used"], F.array(F.element_at(free, 1)["id"].cast("int"))).alias("used")))
+def _first_free(candidates: DataFrame, gold: DataFrame) -> DataFrame:
+    """(gen_index, gold_id): candidates in order, each taking the first free gold row of its group that shares a key.
 
-    return F.aggregate(candidates, start, step, lambda acc: acc["pairs"])
+    candidates: (group, at, keys); gold: (group, at, id, keys). What a candidate may take depends on all before it, so a
+    group is walked in one task: first its gold rows, which wait in a queue for each of their keys, then the candidates,
+    which pass by. Each gold row leaves each queue once, so the work is in proportion to rows and keys.
+    """
+    rows = gold.select("group", F.lit(0).alias("side"), F.col("at").cast("bigint").alias("at"), F.col("id").cast("bigint").alias("id"), "keys")
+    rows = rows.unionByName(candidates.select("group", F.lit(1).alias("side"), F.col("at").cast("bigint").alias("at"), F.col("at").cast("bigint").alias("id"), "keys"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, waiting, taken = object(), {}, set()
+        for b in batches:
+            pairs = []
+            for g, side, at, i, keys in zip(*(b.column(k).to_pylist() for k in range(5))):
+                if g != group:
+                    group, waiting, taken = g, {}, set()
+                if side == 0:
+                    for k in keys or ():
+                        waiting.setdefault(k, deque()).append((at, i))
+                    continue
+                best = None
+                for k in keys or ():
+                    queue = waiting.get(k, ())
+                    while queue and queue[0] in taken:
+                        queue.popleft()
+                    if queue and (best is None or queue[0] < best):
+                        best = queue[0]
+                if best:
+                    taken.add(best)
+                    pairs.append((i, best[1]))
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["gen_index", "gold_id"])
+
+    return rows.repartition("group").sortWithinPartitions("group", "side", "at", "id").mapInArrow(run, "gen_index bigint, gold_id bigint")
 
 
 def match_actions(generated: DataFrame, gold: DataFrame, flows: DataFrame) -> DataFrame:
     """J-07: (gen_index, gold_id) where the generated row's action is among the gold row's and the flow is the same.
 
-    Rows without an action take no part. Membership is no equivalence, so each flow's rows are folded in order.
+    Rows without an action take no part. Membership is no equivalence, so each flow's rows are walked in order.
     """
     g = located(first_by(gold, ["id"], ["pos"]), flows).where("flow is not null")
-    g = g.groupBy("flow").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "panoptic_actions"))).alias("gold"))
+    g = g.select(F.col("flow").alias("group"), F.col("pos").alias("at"), "id", F.col("panoptic_actions").alias("keys"))
     n = generated.where(F.coalesce(F.col("panoptic_action"), F.lit("")) != "").join(flows.select("id").distinct(), F.col("flow_id") == F.col("id"), "left_semi")
-    n = n.groupBy(F.col("flow_id").alias("flow")).agg(F.array_sort(F.collect_list(F.struct("gen_index", "panoptic_action"))).alias("gen"))
-    pairs = _take_first(F.col("gen"), F.col("gold"), lambda c, x: F.coalesce(F.array_contains(x["panoptic_actions"], c["panoptic_action"]), F.lit(False)))
-    return n.join(g, "flow").select(F.inline(pairs))
+    return _first_free(n.select(F.col("flow_id").alias("group"), F.col("gen_index").alias("at"), F.array("panoptic_action").alias("keys")), g)
 
 
 def unmatched(generated: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -107,12 +135,11 @@ def endpoint(labels: DataFrame, elements: DataFrame, label: str = "label") -> Da
 def match_sets(findings: DataFrame, gold: DataFrame) -> DataFrame:
     """J-21: (gen_index, gold_id): each finding takes the first free gold row of its type that cites one of its flows.
 
-    findings: (gen_index, threat_type, flow_ids array). Folded by threat type, the finest key that both sides share.
+    findings: (gen_index, threat_type, flow_ids array). Walked by threat type, the finest key that both sides share.
     """
     g = first_by(gold, ["id"], ["pos"]).withColumn("cited", flow_id("interaction")).where("cited is not null")
-    g = g.groupBy("threat_type").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "cited"))).alias("gold"))
-    n = findings.where(F.size("flow_ids") > 0).groupBy("threat_type").agg(F.array_sort(F.collect_list(F.struct("gen_index", "flow_ids"))).alias("gen"))
-    return n.join(g, "threat_type").select(F.inline(_take_first(F.col("gen"), F.col("gold"), lambda c, x: F.array_contains(c["flow_ids"], x["cited"]))))
+    g = g.select(F.col("threat_type").alias("group"), F.col("pos").alias("at"), "id", F.array("cited").alias("keys"))
+    return _first_free(findings.select(F.col("threat_type").alias("group"), F.col("gen_index").alias("at"), F.col("flow_ids").alias("keys")), g)
 
 
 def reanchored(gold: DataFrame, elements: DataFrame, flows: DataFrame) -> DataFrame:

@@ -113,11 +113,11 @@ dk AS (SELECT DISTINCT doc_id, lower(t) AS token FROM (SELECT doc_id, unnest(reg
 kw AS (SELECT query_id, doc_id, count(*) / any_value(n) AS kw FROM dk JOIN qk USING (token) JOIN (SELECT query_id, count(*) AS n FROM qk GROUP BY ALL) USING (query_id) GROUP BY ALL)"""
 
 
-@query(f"""WITH {_KW} SELECT query_id, doc_id, round(kw, 6) AS kw FROM kw WHERE kw >= 0.5""")
+@query(f"""WITH {_KW} SELECT query_id, doc_id, round(kw, 6) AS kw FROM kw""")
 def keyword_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """R-07: pairs that share half of the query's tokens."""
+    """R-07: all pairs that share a token."""
     kw = retrieval.keyword_overlap(load(spark, d, "documents"), _asked(spark, d), few=True)
-    return kw.where("kw >= 0.5").select("query_id", "doc_id", F.round("kw", 6).alias("kw"))
+    return kw.select("query_id", "doc_id", F.round("kw", 6).alias("kw"))
 
 
 @query(f"""WITH {_BM25}, {_KW}, p AS (SELECT query_id, max(score) AS peak FROM s GROUP BY ALL),
@@ -151,10 +151,10 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return corpus.corpus_stats(load(spark, d, "documents").select("source", F.struct(F.when(F.col("lang") != "en", F.col("lang")).alias("kind")).alias("meta")))
 
 
-@query(f"""WITH {_BM25.split("qt AS")[0].rstrip().rstrip(",")} SELECT term, df, round(idf, 6) AS idf, round(avg_len, 6) AS avg_len FROM idf WHERE df >= 2""")
+@query(f"""WITH {_BM25.split("qt AS")[0].rstrip().rstrip(",")} SELECT term, df, round(idf, 6) AS idf, round(avg_len, 6) AS avg_len FROM idf""")
 def idf_table(spark: SparkSession, d: str) -> DataFrame:
-    """A-19: terms of two documents or more."""
-    return retrieval.bm25_statistics(load(spark, d, "documents")).where("df >= 2").select("term", "df", F.round("idf", 6).alias("idf"), F.round("avg_len", 6).alias("avg_len"))
+    """A-19."""
+    return retrieval.bm25_statistics(load(spark, d, "documents")).select("term", "df", F.round("idf", 6).alias("idf"), F.round("avg_len", 6).alias("avg_len"))
 
 
 # events as threats: the first half of the month is the catalog, the second what was generated
@@ -232,7 +232,20 @@ def worst_nodes(spark: SparkSession, d: str) -> DataFrame:
     return metrics.worst_nodes(metrics.by_node(gen, gold, matching.match(gen, gold))).select("category", F.col("fn").cast("bigint").alias("fn"))
 
 
-@query()
+# the fold of each user's events: the list of gold rows taken so far goes from one generated row to the next
+_GREEDY = f"""
+o AS (SELECT *, list_position(['D', 'Dd', 'I', 'L', 'Nr'], threat_type) AS a FROM (SELECT event_id, ts, user_id, {_TYPE_SQL} AS threat_type FROM events)),
+gl AS (SELECT user_id, list({{'id': event_id, 'a': a, 'b': a % 5 + 1}} ORDER BY event_id) AS gold FROM o WHERE ts < '2024-01-16' GROUP BY ALL),
+gn AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM o WHERE ts >= '2024-01-16'),
+walk AS (
+  SELECT user_id, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS gen_index, NULL::BIGINT AS gold_id FROM gl
+  UNION ALL
+  SELECT user_id, k, CASE WHEN hit IS NULL THEN used ELSE list_append(used, hit) END, event_id, hit
+  FROM (SELECT w.user_id, gn.k, w.used, gn.event_id, list_filter(gold, lambda x: (x.a = gn.a OR x.b = gn.a) AND NOT list_contains(w.used, x.id))[1].id AS hit
+        FROM walk w JOIN gn ON gn.user_id = w.user_id AND gn.k = w.k + 1 JOIN gl ON gl.user_id = w.user_id))"""
+
+
+@query(f"WITH RECURSIVE {_GREEDY} SELECT gen_index, gold_id FROM walk WHERE gold_id IS NOT NULL")
 def greedy_match_actions(spark: SparkSession, d: str) -> DataFrame:
     """J-07, U-05: membership matching; a user's events are the flow, the catalog's actions two neighbouring types."""
     gen, gold = _threats(spark, d)
@@ -759,7 +772,15 @@ def mapping_audit(spark: SparkSession, d: str) -> DataFrame:
     return crosswalk.audit(g, x).select("id", "bucket")
 
 
-@query()
+@query("""
+WITH RECURSIVE n AS (SELECT source, lpad(doc_id::VARCHAR, 12, '0') AS file, n_chars, row_number() OVER (PARTITION BY source ORDER BY lpad(doc_id::VARCHAR, 12, '0')) AS k FROM documents),
+walk AS (
+  SELECT DISTINCT source, NULL::VARCHAR AS file, 0::BIGINT AS k, 50000::BIGINT AS room, false AS taken FROM documents
+  UNION ALL
+  SELECT n.source, n.file, n.k, CASE WHEN coalesce(n_chars, 0) <= room THEN room - coalesce(n_chars, 0) ELSE room END, coalesce(n_chars, 0) <= room
+  FROM walk w JOIN n ON n.source IS NOT DISTINCT FROM w.source AND n.k = w.k + 1)
+SELECT source, file, taken FROM walk WHERE k > 0
+""")
 def budget_fill(spark: SparkSession, d: str) -> DataFrame:
     """W-09, U-05: documents of each source that fit into a budget, in order, later smaller ones too."""
     docs = load(spark, d, "documents").select("source", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("file"), "n_chars")
@@ -770,7 +791,7 @@ def budget_fill(spark: SparkSession, d: str) -> DataFrame:
 def ambiguous_flow_alignment(spark: SparkSession, d: str) -> DataFrame:
     """J-16, O-07, U-05: benchmark items (hand) and documents (derived) of the same group, told apart by their tokens."""
     hand = load(spark, d, "benchmark").select(F.concat(F.lit("H"), F.lpad(F.col("item_id").cast("string"), 6, "0")).alias("id"), F.col("text").alias("description"), (F.col("item_id") % 20).cast("string").alias("source"), F.lit("t").alias("destination"))
-    derived = load(spark, d, "conversations").where("role = 'user'").select(F.concat(F.lit("D"), F.lpad(F.col("conv_id").cast("string"), 6, "0"), F.lit("."), F.lpad(F.col("turn").cast("string"), 3, "0")).alias("id"), F.col("text").alias("description"), F.concat(F.lit("d"), (F.col("conv_id") % 20).cast("string")).alias("source"), F.lit("dt").alias("destination"))
+    derived = load(spark, d, "conversations").select(F.concat(F.lit("D"), F.lpad(F.col("conv_id").cast("string"), 6, "0"), F.lit("."), F.lpad(F.col("turn").cast("string"), 3, "0")).alias("id"), F.col("text").alias("description"), F.concat(F.lit("d"), (F.col("conv_id") % 20).cast("string")).alias("source"), F.lit("dt").alias("destination"))
     el = spark.createDataFrame([(f"d{i}", str(i)) for i in range(20)] + [("dt", "t")], "derived string, hand string")
     return align.align_flows(derived, hand, el)
 
