@@ -239,6 +239,8 @@ WIDTH, ALIKE = 5, 0.8
 BANDS, MINIMA = 40, 5
 #: Differing bits of texts that are alike: 9.7 on average at similarity 0.8, with a deviation of 2.9; more for few shingles.
 REACH = 26
+#: Hashes of the sets that a task compares, about.
+MOST = 2_000_000
 
 _r = np.random.Generator(np.random.PCG64(42))
 _TIMES = _r.integers(0, 1 << 63, BANDS * MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -301,7 +303,7 @@ def signatures(docs: DataFrame, key: str, text: str, width: int = WIDTH) -> Data
     return rows.mapInArrow(run, "k bigint, h bigint, node bigint, n bigint, fp bigint, bands array<bigint>")
 
 
-def _nearest(fp: list[int], n: list[int], node: list[int], comp: list[int]) -> list[tuple[int, int]]:
+def _nearest(fp: list[int], n: list[int], node: list[int]) -> list[tuple[int, int]]:
     """For each member of a shard the nearest earlier one that can be alike: fewer pairs than members."""
     tree, out = BKTree(), []
     for i, v in enumerate(fp):
@@ -315,27 +317,40 @@ def _nearest(fp: list[int], n: list[int], node: list[int], comp: list[int]) -> l
     return out
 
 
-def _across(fp: list[int], n: list[int], node: list[int], comp: list[int], one: bool) -> list[tuple[int, int]]:
-    """Pairs of different components that can be alike: all, or of each member and other component the nearest.
+def _across(fp: list[int], sets: list[np.ndarray], comp: list[int], block: list[int], one: int, two: int) -> list[tuple[int, int]]:
+    """Places of pairs that link different components of a shard: verified, and no more than connect them.
 
-    The largest component only answers.
+    The tree says which members of other components are near; of those the whole sets are compared. The largest
+    component only answers. one, two: of two different blocks only pairs between them are asked.
     """
     parts: dict[int, list[int]] = {}
     for i, c in enumerate(comp):
         parts.setdefault(c, []).append(i)
     if len(parts) < 2:
         return []
+    n = np.array([len(x) for x in sets])
+    starts = np.concatenate(([0], np.cumsum(n)))
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(int(flat.max(initial=0)) + 1, bool)
+    names = {c: x for x, c in enumerate(parts)}
+    union, of = _Union(len(parts)), [names[c] for c in comp]
     tree, order, out = BKTree(), [], []
     for c in sorted(parts, key=lambda c: (-len(parts[c]), c)):
         for i in parts[c] if order else ():
-            found = [j for j in (order[x] for x in tree.within(fp[i], REACH)) if min(n[i], n[j]) >= ALIKE * max(n[i], n[j])]
-            if one:
-                best: dict[int, tuple[int, int, int]] = {}
-                for j in found:
-                    d = ((fp[j] ^ fp[i]).bit_count(), node[j], j)
-                    best[comp[j]] = min(best.get(comp[j], d), d)
-                found = [x[2] for x in best.values()]
-            out += [(min(node[i], node[j]), max(node[i], node[j])) for j in found]
+            near = [j for j in (order[x] for x in tree.within(fp[i], REACH)) if min(n[i], n[j]) >= ALIKE * max(n[i], n[j]) and (one == two or block[i] != block[j])]
+            if not near:
+                continue
+            own = flat[starts[i] : starts[i + 1]]
+            mark[own] = True
+            # shared hashes of all near sets at once
+            lengths = n[near]
+            first = np.cumsum(lengths) - lengths
+            at = np.arange(int(lengths.sum())) + np.repeat(starts[near] - first, lengths)
+            both = np.add.reduceat(mark[flat[at]], first, dtype=np.int64)
+            mark[own] = False
+            for k in np.flatnonzero(both >= ALIKE * (n[i] + lengths - both)).tolist():
+                if union.join(of[i], of[near[k]]):
+                    out.append((i, near[k]))
         for i in parts[c]:
             tree.add(fp[i])
             order.append(i)
@@ -366,48 +381,55 @@ def _shared(shards: DataFrame) -> DataFrame:
     return shards.select("shard", "node").repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard bigint, node bigint")
 
 
-def _asked(shards: DataFrame, ask) -> DataFrame:
-    """(a, b): what ``ask`` finds in each shard. ``shards``: (shard, fp, n, node, comp)."""
+def _by_shard(rows: DataFrame, keys: list[str], ask) -> DataFrame:
+    """(a, b): what ``ask`` finds in the rows of each key, as pairs of nodes; it is given a key and Arrow columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        kept: list[pa.RecordBatch] = []
+        name = None
 
-        def found(x: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cut = np.flatnonzero(np.diff(x[0])) + 1
-            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), x.shape[1]]):
-                if e - s > 1:
-                    pairs = ask(x[1, s:e].view(np.uint64).tolist(), x[2, s:e].tolist(), x[3, s:e].tolist(), x[4, s:e].tolist())
-                    for i in range(0, len(pairs), 100_000):
-                        a, b = zip(*pairs[i : i + 100_000])
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        def found() -> Iterator[pa.RecordBatch]:
+            pairs = ask(name, pa.Table.from_batches(kept)) if kept else []
+            for i in range(0, len(pairs), 100_000):
+                a, b = zip(*pairs[i : i + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
-            if held and held[-1][0, -1] != x[0, 0]:
-                yield from found(np.concatenate(held, axis=1))
-                held = []
-            last = np.flatnonzero(x[0] != x[0, -1])
-            if len(last):
-                at = int(last[-1]) + 1
-                yield from found(np.concatenate([*held, x[:, :at]], axis=1))
-                held = [x[:, at:]]
-            else:
-                held.append(x)
-        if held:
-            yield from found(np.concatenate(held, axis=1))
+            key = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(keys))])
+            cut = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+            for s, e in zip(cut, cut[1:]):
+                now = tuple(key[:, s].tolist())
+                if now != name:
+                    yield from found()
+                    kept, name = [], now
+                kept.append(b.slice(s, e - s))
+        yield from found()
 
-    rows = shards.select("shard", "fp", "n", "node", "comp").repartition("shard").sortWithinPartitions("shard", "n", "node")
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _asked(shards: DataFrame) -> DataFrame:
+    """(a, b): of each set the nearest of each of its shards. ``shards``: (shard, fp, n, node)."""
+
+    def ask(_: tuple, rows: pa.Table) -> list[tuple[int, int]]:
+        fp = rows.column("fp").to_numpy().view(np.uint64).tolist()
+        return _nearest(fp, rows.column("n").to_pylist(), rows.column("node").to_pylist()) if len(fp) > 1 else []
+
+    return _by_shard(shards.select("shard", "fp", "n", "node").repartition("shard").sortWithinPartitions("shard", "n", "node"), ["shard"], ask)
+
+
+def _texts(asked: DataFrame, docs: DataFrame, of_node: DataFrame, key: str, text: str) -> DataFrame:
+    """(node, t): a text of each node of ``asked``, written."""
+    texts = docs.select(F.col(key).cast("bigint").alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    return written(texts.join(asked.join(of_node, "node"), ["k", "h"]).dropDuplicates(["node"]).select("node", "t"), "similar-texts", compression="zstd")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, of_node: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """The pairs whose shingle sets are alike."""
     pairs = written(pairs, "similar-pairs")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(key).cast("bigint").alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
-    texts = written(texts.join(asked.join(of_node, "node"), ["k", "h"]).dropDuplicates(["node"]).select("node", "t"), "similar-texts", compression="zstd")
+    texts = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), docs, of_node, key, text)
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,13 +441,38 @@ def _verified(pairs: DataFrame, docs: DataFrame, of_node: DataFrame, key: str, t
     return written(both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint"), "similar-links", pairs.count(), 50_000)
 
 
+def _links_across(shards: DataFrame, known: DataFrame, docs: DataFrame, of_node: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(a, b): links between the components ``known`` of sets that share a shard: all that connect them.
+
+    A set goes to each of its shards that still has several components, not to each pair. A shard of more than MOST
+    hashes is dealt into blocks, and each pair of blocks is a task's.
+    """
+    named = shards.join(known, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    mixed = named.groupBy("shard").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.sum("n") / MOST).alias("blocks")).where("x <> y").select("shard", "blocks")
+    rows = written(named.join(mixed, "shard"), "similar-mixed")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")), lambda o: F.struct(F.least(o, F.col("block")).alias("one"), F.greatest(o, F.col("block")).alias("two")))
+    rows = rows.join(_texts(rows.select("node").distinct(), docs, of_node, key, text), "node").select("shard", F.explode(pairs).alias("p"), "block", "fp", "node", "comp", "t")
+    rows = rows.select("shard", "p.one", "p.two", "block", "fp", "node", "comp", "t").repartition("shard", "one", "two").sortWithinPartitions("shard", "one", "two", "node")
+
+    def ask(name: tuple, rows: pa.Table) -> list[tuple[int, int]]:
+        comp, node = rows.column("comp").to_pylist(), rows.column("node").to_pylist()
+        if len(set(comp)) < 2:
+            return []
+        sets = [shingle_set(t, width) for t in rows.column("t").to_pylist()]
+        found = _across(rows.column("fp").to_numpy().view(np.uint64).tolist(), sets, comp, rows.column("block").to_pylist(), name[1], name[2])
+        return [(node[i], node[j]) for i, j in found]
+
+    return _by_shard(rows, ["shard", "one", "two"], ask)
+
+
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """(k, h, group, component) of each row with a key: its group by links of similarity ALIKE or more, the group's smallest key.
 
-    Texts with equal shingle sets are linked, blank and null ones too. Pairs to verify are asked of the shards' trees in
-    three rounds: the nearest of each text; between the components that gives, the nearest of each text and component;
-    then every pair of a shard that is still of different components. A shard is one task's, with 40 bytes a set; work of
-    the last round grows with the square of the shard's sets that are not linked.
+    Texts with equal shingle sets are linked, blank and null ones too. Each set's nearest in each of its shards is
+    verified first, fewer pairs than rows of shards. Then the sets of shards that still have several components are
+    compared where they are, so that every two sets of a shard that the tree finds near are in one component or were
+    compared. Work grows with the square of a shard's sets that are not linked, rows do not.
     """
     found = written(signatures(docs, key, text, width), "similar-signatures")
     number = found.count()
@@ -433,15 +480,10 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     shards = _shared(of_node.select(F.explode("bands").alias("shard"), "node"))
     shards = written(shards.join(of_node.select("node", "n", "fp"), "node"), "similar-shards")
     names = of_node.select("node", "k", "h")
-    links = _verified(_asked(shards.withColumn("comp", F.col("node")), _nearest), docs, names, key, text, width)
-    number = found.count()
+    links = _verified(_asked(shards), docs, names, key, text, width)
+    known = connected_components(links, "similar-components", number)
+    links = links.union(written(_links_across(shards, known, docs, names, key, text, width), "similar-across", number))
     known = connected_components(links, "similar-components", number)
-    for one in (True, False):
-        named = shards.join(known, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        mixed = named.groupBy("shard").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("shard")
-        more = _verified(_asked(named.join(mixed, "shard", "left_semi"), lambda fp, n, node, comp, one=one: _across(fp, n, node, comp, one)), docs, names, key, text, width)
-        links = links.union(more)
-        known = connected_components(links, "similar-components", number)
     of = written(of_node.select("node", "k").join(known, "node", "left").select("node", "k", F.coalesce("component", "node").alias("group")), "similar-groups", number)
     of = of.join(of.groupBy("group").agg(F.min("k").alias("component")), "group").select("node", "group", "component")
     return found.select("k", "h", "node").join(of, "node").select("k", "h", "group", "component")
