@@ -68,20 +68,31 @@ def run_eval(spark: SparkSession, a: argparse.Namespace) -> None:
         _show(metrics.worst_nodes(e.nodes))
 
 
+def _replaced(spark: SparkSession, path: str) -> None:
+    """Puts ``path``.new in the place of ``path``."""
+    jvm = spark.sparkContext._jvm
+    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    if not fs.rename(new, old):
+        raise OSError(f"{path}.new could not be renamed")
+
+
 def adjudicate(spark: SparkSession, a: argparse.Namespace) -> None:
     generated, gold, _, flows = scenario(spark, a)
     pairs = match(generated, gold, flows)
     wrong = unmatched(generated, pairs).withColumn("label", F.lit(None).cast("string")).withColumn("note", F.lit(""))
     try:
         have = spark.read.json(a.worklist, schema=wrong.schema)
-        have = spark.createDataFrame(have.collect(), have.schema)  # the file is about to be rewritten
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         have = wrong.limit(0)
     out = have if a.report_only else runs.topped_up(have, wrong, a.n, a.seed)
     if not a.report_only:
-        out.orderBy("gen_index").write.mode("overwrite").json(a.worklist)
+        # the old file is read while the new one is written beside it
+        out.orderBy("gen_index").write.mode("overwrite").json(f"{a.worklist}.new")
+        _replaced(spark, a.worklist)
         out = spark.read.json(a.worklist, schema=wrong.schema)
     _show(out.agg(*metrics.human_corrected(F.lit(pairs.count()), F.lit(wrong.count()))))
 

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriframe.functions import text as X
-from veriframe.operators import accept, align, facts, matching, metrics, threats
+from veriframe.operators import accept, align, crosswalk, facts, matching, metrics, threats
 from veriframe.operators.validate import violations
 from veriframe.plans import comparison
 from veriframe.plans.queries import _DFD, _GG, _GREEDY, _PRF, _TYPE_SQL, _diagram, _rounded, _threats, query
-from veriframe.sources import corpus
+from veriframe.sources import corpus, runs
 from veriframe.tables import DFD, THREAT_TYPES, invalid_pairs, load, mapping
 
 
@@ -385,8 +385,6 @@ SELECT s_suppkey AS l_suppkey, run FROM (SELECT s_suppkey, unnest(range(1, 8))::
 """)
 def pending_of_a_sweep(spark: SparkSession, d: str) -> DataFrame:
     """S-24, X-01, Z-19: the cells of a sweep, supplier by run, that its state lacks."""
-    from veriframe.sources import runs
-
     planned = load(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.explode(F.sequence(F.lit(1), F.lit(7))).alias("run"))
     done = load(spark, d, "lineitem").where("l_returnflag <> 'R' AND l_quantity > 49").select("l_suppkey", F.col("l_linenumber").cast("int").alias("run"))
     return runs.pending(planned, done, ["l_suppkey", "run"])
@@ -452,3 +450,206 @@ def gold_free_citations(spark: SparkSession, d: str) -> DataFrame:
     return metrics.gold_free_rates(checks, "run").select("run", F.round("node_valid_rate", 6).alias("node_valid_rate"), "n")
 
 
+
+
+# diagrams, prompts and acceptance
+
+
+@query(f"""WITH {_DFD}, n AS (SELECT t AS threat_type, t || '.' || i AS node_id FROM (SELECT unnest({list(THREAT_TYPES)}) AS t), (SELECT unnest([0, 1]) AS i))
+SELECT id, threat_type, node_id, 3 AS n_positions FROM ctx, n WHERE valid""")
+def context_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """J-03, R-09: the tree nodes of the types that apply to each flow."""
+    el, fl = _diagram(spark, d)
+    nodes = spark.createDataFrame([(t, f"{t}.{i}", "", "") for t in THREAT_TYPES for i in range(2)], "threat_type string, node_id string, title string, description string")
+    c = threats.contexts(threats.with_endpoints(fl, el), mapping(spark), invalid_pairs(spark))
+    return threats.context_nodes(c, nodes, "id").select("id", "threat_type", "node_id", F.size("positions").alias("n_positions"))
+
+
+@query(f"""WITH {_DFD}, j AS (SELECT fl.id, s.name AS sn, s.type AS st, t.name AS tn, t.type AS tt FROM fl JOIN el s ON s.id = source JOIN el t ON t.id = destination),
+p AS (SELECT id, sn || ' -> ' || tn || ': carries ' || id AS query, 'Name the threats.' || chr(10) || 'Flow ' || id || ': ' || sn || ' (' || st || ') -> ' || tn || ' (' || tt || ')' || chr(10) || 'carries ' || id || chr(10) || chr(10) || 'first' || chr(10) || 'second ' || id AS prompt FROM j)
+SELECT id AS flow, query, sha256(prompt) AS prompt_sha256, length(prompt)::INT AS prompt_chars FROM p""")
+def flow_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """P-01, P-02, Z-23, F-25: each flow's retrieval query, and its prompt's digest and length."""
+    el, fl = _diagram(spark, d)
+    f = threats.with_endpoints(fl, el, "inner").withColumn("description", _named("carries ", "id"))
+    blocks = fl.select(F.col("id").alias("flow"), F.explode(F.array(F.struct(F.lit(2).alias("pos"), _named("second ", "id").alias("block")), F.struct(F.lit(1).alias("pos"), F.lit("first").alias("block")))).alias("b")).select("flow", "b.*")
+    p = threats.prompts(f, blocks, "Name the threats.")
+    return f.select(F.col("id").alias("flow"), threats.flow_query().alias("query")).join(p, "flow").select("flow", "query", "prompt_sha256", "prompt_chars")
+
+
+@query("SELECT event_id AS gen_index, event_type AS threat_type, coalesce(CASE WHEN event_id % 3 = 0 THEN 'rag' END, CASE WHEN event_id % 2 = 0 THEN 'grounded' ELSE 'ungrounded' END) AS mode FROM events")
+def threat_fields(spark: SparkSession, d: str) -> DataFrame:
+    """P-03: known fields only; a missing mode follows the grounding."""
+    e = F.col("event_id")
+    t = load(spark, d, "events").select(e.alias("gen_index"), F.col("event_type").alias("threat_type"), F.when(e % 3 == 0, "rag").alias("mode"), (e % 2 == 0).alias("grounded"), "props")
+    return threats.known_fields(t).drop("grounded")
+
+
+@query("SELECT count(*) FILTER (event_id % 7 = 0 OR user_id % 11 = 0)::BIGINT AS malformed, count(*) AS rows FROM events")
+def malformed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """P-14: malformed rows are counted, none is fatal."""
+    e = load(spark, d, "events").select(F.when(F.col("event_id") % 7 > 0, "x").alias("flow_id"), F.when(F.col("user_id") % 11 > 0, "y").alias("threat_type"))
+    return threats.well_formed(e, ["flow_id", "threat_type"])[1]
+
+
+@query(f"WITH {_DFD}, g AS (SELECT event_id AS id, 'F' || (event_id * 5) AS cited FROM events) SELECT g.id, cited AS flow FROM g JOIN fl ON fl.id = cited")
+def anchorable_gold(spark: SparkSession, d: str) -> DataFrame:
+    """P-17, P-18: catalog rows whose flow this diagram has."""
+    _, fl = _diagram(spark, d)
+    e = F.col("event_id")
+    g = load(spark, d, "events").select(e.alias("id"), e.alias("pos"), F.concat(F.lit("a [F"), _s(e * 5), F.lit("]")).alias("interaction"), *(F.lit(None).cast("string").alias(c) for c in ("dfd_source_id", "dfd_destination_id")))
+    return threats.anchorable(g, fl).select("id", "flow")
+
+
+@query("""
+WITH r AS (SELECT o_orderkey AS pos, CASE WHEN o_orderkey % 31 = 0 THEN '' ELSE 'F' || (o_orderkey % 9000) END AS id, 'C' || o_custkey AS source, 'C' || (o_custkey * 5 % 2000) AS destination, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderpriority END AS descr, [o_orderkey % 40, o_orderkey % 70] AS ids FROM orders),
+k AS (SELECT *, CASE WHEN id = '' THEN 'missing id' WHEN source NOT IN (SELECT 'C' || c_custkey FROM customer) OR destination NOT IN (SELECT 'C' || c_custkey FROM customer) THEN 'endpoint not an emitted element' WHEN ids[1] >= 25 AND ids[2] >= 25 THEN 'cites no resolvable fact' END AS bad FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY id, bad IS NULL ORDER BY pos) AS k FROM k)
+SELECT pos, coalesce(bad, CASE WHEN k > 1 THEN 'duplicate' END) AS reason, CASE WHEN descr = '' THEN source || ' -> ' || destination ELSE descr END AS description FROM n
+""")
+def accepted_flows(spark: SparkSession, d: str) -> DataFrame:
+    """P-10, N5: flows whose end points were kept and that cite a known fact, the first of an id; a default description."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    raw = load(spark, d, "orders").select(k.alias("pos"), F.when(k % 31 == 0, "").otherwise(_named("F", k % 9000)).alias("id"), _named("C", c).alias("source"), _named("C", c * 5 % 2000).alias("destination"), F.when(k % 3 == 0, "").otherwise(F.col("o_orderpriority")).alias("description"), F.array(_s(k % 40), _s(k % 70)).alias("fact_ids"))
+    elements = load(spark, d, "customer").select(_named("C", "c_custkey").alias("id"))
+    return accept.accept_flows(raw, elements, spark.range(25).select(_s("id").alias("id"))).select("pos", "reason", "description")
+
+
+@query("""
+WITH r AS (SELECT event_id AS pos, 'F' || (event_id % 3000) AS flow_id, CASE WHEN event_id % 5 = 0 THEN '  ' ELSE ' note ' || event_id || ' ' END AS note, event_id % 40 AS f FROM events),
+k AS (SELECT *, CASE WHEN flow_id NOT IN (SELECT 'F' || o_orderkey FROM orders) THEN 'not a flow in this DFD' WHEN trim(note) = '' THEN 'empty data_note' WHEN f >= 25 THEN 'cites no resolvable fact' END AS bad FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY flow_id, bad IS NULL ORDER BY pos) AS k FROM k)
+SELECT pos, coalesce(bad, CASE WHEN k > 1 THEN 'duplicate' END) AS reason, trim(note) AS data_note FROM n
+""")
+def accepted_notes(spark: SparkSession, d: str) -> DataFrame:
+    """P-13: the first note of each flow that exists and that cites a known fact."""
+    e = F.col("event_id")
+    raw = load(spark, d, "events").select(e.alias("pos"), _named("F", e % 3000).alias("flow_id"), F.when(e % 5 == 0, "  ").otherwise(F.concat(F.lit(" note "), _s(e), F.lit(" "))).alias("data_note"), F.array(_s(e % 40)).alias("fact_ids"))
+    flows = load(spark, d, "orders").select(_named("F", "o_orderkey").alias("id"))
+    return accept.accept_enrichments(raw, flows, spark.range(25).select(_s("id").alias("id"))).select("pos", "reason", "data_note")
+
+
+@query("""
+SELECT event_id, concat_ws(';', CASE WHEN event_id % 4 > 0 THEN 'f' || (event_id % 9) || ':' || user_id END, CASE WHEN event_id % 6 = 1 THEN 'g:7' END) AS cited FROM events
+""")
+def cleaned_citations(spark: SparkSession, d: str) -> DataFrame:
+    """P-12: citations with a file and a whole number, trimmed and typed; others are dropped."""
+    e = F.col("event_id")
+    c = lambda file, line: F.struct(file.alias("file"), line.alias("line"))
+    given = F.array(c(F.when(e % 4 > 0, F.concat(F.lit(" f"), _s(e % 9), F.lit(" "))).otherwise(" "), _s("user_id")), c(F.lit("g"), F.when(e % 6 == 1, "7").when(e % 6 == 2, "7.5").otherwise("x")))
+    clean = accept.clean_citations(given)
+    return load(spark, d, "events").select(e, F.array_join(F.transform(clean, lambda x: F.concat_ws(":", x["file"], x["line"].cast("string"))), ";").alias("cited"))
+
+
+@query("""
+WITH o AS (SELECT DISTINCT p_size % 5 AS t, p_brand || '.' || p_size AS n FROM part WHERE p_partkey % 3 > 0), w AS (SELECT DISTINCT p_size % 5 AS t, p_brand || '.' || p_size AS n FROM part WHERE p_partkey % 7 > 2),
+x AS (SELECT t, n, 1 AS k FROM (SELECT * FROM w EXCEPT SELECT * FROM o) UNION ALL SELECT t, n, 2 FROM (SELECT * FROM o EXCEPT SELECT * FROM w))
+SELECT t AS threat_type, coalesce(string_agg(n, ',' ORDER BY n) FILTER (k = 1), '') AS added, coalesce(string_agg(n, ',' ORDER BY n) FILTER (k = 2), '') AS removed FROM x GROUP BY ALL
+""")
+def node_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Z-13: nodes added and removed between two versions of a tree, by type."""
+    p = load(spark, d, "part").select((F.col("p_size") % 5).alias("threat_type"), F.concat("p_brand", F.lit("."), _s("p_size")).alias("node_id"), "p_partkey")
+    out = crosswalk.node_diff(p.where("p_partkey % 3 > 0"), p.where("p_partkey % 7 > 2"))
+    return out.select("threat_type", F.array_join("added", ",").alias("added"), F.array_join("removed", ",").alias("removed"))
+
+
+@query("SELECT 'f' || p_size AS doc, max(p_partkey)::INT AS n_lines FROM part GROUP BY ALL")
+def fact_files(spark: SparkSession, d: str) -> DataFrame:
+    """Z-09: the largest line that facts name in each file."""
+    k = F.col("p_partkey")
+    return accept.files_of(_facts(load(spark, d, "part"), "x", _named("R", k), _named("f", "p_size"), k, k, a=F.lit("b")))
+
+
+@query(f"""WITH {_ROUTES},
+roles AS (SELECT 'r' || (n_nationkey % 4) AS k, string_agg('N' || n_nationkey, ',' ORDER BY 'N' || n_nationkey) AS facts FROM (SELECT n_nationkey FROM nation) GROUP BY ALL),
+mp AS (SELECT '/api/' || (s_suppkey % 7) || '/' AS k, arg_max('M' || s_suppkey, s_suppkey) AS i FROM supplier GROUP BY ALL),
+rt AS (SELECT mount_path, string_agg(id, ',' ORDER BY id) AS r FROM routes GROUP BY ALL),
+st AS (SELECT 'box' || (r_regionkey % 3) AS k, string_agg('W' || r_regionkey, ',' ORDER BY 'W' || r_regionkey) AS facts FROM region GROUP BY ALL),
+a AS (SELECT 'ExternalEntity' AS type, 'EE' AS p, k, k || ' (actor role)' AS name, facts FROM roles
+  UNION ALL SELECT 'Process', 'P', k, k, concat_ws(',', i, r) FROM mp LEFT JOIN rt ON mount_path = k
+  UNION ALL SELECT 'DataStore', 'DS', k, 'Browser ' || k, facts FROM st)
+SELECT p || row_number() OVER (PARTITION BY p ORDER BY k) AS id, type, name, facts AS fact_ids FROM a""")
+def implied_elements(spark: SparkSession, d: str) -> DataFrame:
+    """A-20: an element for each role, mount and store that facts name, numbered in sorted order, with the facts."""
+    n, r = F.col("n_nationkey"), F.col("r_regionkey")
+    roles = _facts(load(spark, d, "nation"), "role_check", _named("N", n), F.lit("a"), n, n, roles=F.concat(F.lit('["r'), _s(n % 4), F.lit('"]')))
+    stores = _facts(load(spark, d, "region"), "web_storage_access", _named("W", r), F.lit("b"), r, r, store=_named("box", r % 3))
+    out = facts.elements(_mounts_and_routes(spark, d).unionByName(roles).unionByName(stores))
+    return out.select("id", "type", "name", F.array_join("fact_ids", ",").alias("fact_ids"))
+
+
+@query("""
+WITH acc AS (SELECT o_orderkey AS k, o_custkey % 60 AS route, o_custkey % 25 AS coll, o_orderkey % 3 = 0 AS write FROM orders),
+fl AS (SELECT o_orderkey AS k, o_orderkey % 2 = 0 AS fwd, o_custkey % 10 AS proc, o_custkey % 30 AS store FROM orders),
+e AS (SELECT fl.k, fwd, store < 25 AS declared, route % 10 = proc AND coll = store AS hit, write FROM fl JOIN acc USING (k))
+SELECT 'F' || k AS id, declared AS endpoints_declared, declared AND hit AS evidence_connects, CASE WHEN declared AND hit THEN fwd = write END AS direction_matches FROM e
+""")
+def flow_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """J-19: whether the access that a flow cites joins its end points, and which way the data moves."""
+    o, k, c = load(spark, d, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    i = F.col("id")
+    mounts = _facts(spark.range(10), "express_mount", _named("M", i), F.lit("s"), i, i, router_file=_named("r", i), mount_path=_named("/m", i))
+    routes = _facts(spark.range(60), "express_route", _named("R", i), _named("r", i % 10), i, i, method=F.lit("GET"), router_path=_named("/", i))
+    stores = _facts(spark.range(25), "mongo_collection", _named("K", i), F.lit("m"), i, i, collection=_named("c", i))
+    uses = _facts(o, "db_access", _named("A", k), F.lit("x"), F.lit(1), k, route_fact_id=_named("R", c % 60), collection=_named("c", c % 25), access=F.when(k % 3 == 0, "write").otherwise("read"))
+    prov = lambda x: F.array(F.struct(x.alias("fact_id"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line")))
+    el = spark.range(10).select(_named("P", i).alias("id"), F.lit("Process").alias("type"), prov(_named("M", i)).alias("provenance")).unionByName(spark.range(25).select(_named("D", i).alias("id"), F.lit("DataStore").alias("type"), prov(_named("K", i)).alias("provenance")))
+    p, s, fwd = _named("P", c % 10), _named("D", c % 30), k % 2 == 0
+    fl = o.select(_named("F", k).alias("id"), F.when(fwd, p).otherwise(s).alias("source"), F.when(fwd, s).otherwise(p).alias("destination"), prov(_named("A", k)).alias("provenance"))
+    return accept.evidence_links(fl, el, mounts.unionByName(routes).unionByName(stores).unionByName(uses).drop("pos"))
+
+
+@query("""
+WITH f AS (SELECT o_orderkey AS k, 'F' || o_orderkey AS id FROM orders)
+SELECT id, 'flow id set changed' AS problem FROM f WHERE k % 50 = 1
+UNION ALL SELECT id, 'endpoints changed' FROM f WHERE k % 50 = 2
+UNION ALL SELECT id, 'original description not preserved as prefix' FROM f WHERE k % 50 = 3
+UNION ALL SELECT id, 'enrichment cites unresolvable fact id Q' || k FROM f WHERE k % 50 = 4
+""")
+def enrichment_faults(spark: SparkSession, d: str) -> DataFrame:
+    """J-34, T-06: how enriched flows break their contract: lost flows, moved ends, changed texts, ids that don't resolve."""
+    o, k = load(spark, d, "orders"), F.col("o_orderkey")
+    none = F.array().cast("array<struct<fact_id:string,file:string,line:int>>")
+    before = o.select(_named("F", k).alias("id"), F.lit("a").alias("source"), F.lit("b").alias("destination"), _named("text ", k).alias("description"), none.alias("provenance"))
+    after = o.where(k % 50 != 1).select(_named("F", k).alias("id"), F.when(k % 50 == 2, "z").otherwise("a").alias("source"), F.lit("b").alias("destination"), F.when(k % 50 == 3, "other").otherwise(F.concat(_named("text ", k), F.lit(" and more"))).alias("description"), none.alias("provenance"), F.array(F.when(k % 50 == 4, _named("Q", k)).otherwise("F1")).alias("fact_ids"))
+    el = load(spark, d, "customer").select(_named("C", "c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return accept.enrichment_violations(before, after, el, el, spark.createDataFrame([("F1",)], "id string"))
+
+
+@query("""
+WITH l AS (SELECT p_brand AS doc, p_partkey AS n, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k, p_partkey % 5 = 0 AS head, 'L.1.' || p_size AS node, p_name AS title FROM part),
+s AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc ORDER BY n ROWS UNBOUNDED PRECEDING) AS sec FROM l)
+SELECT doc, max(node) FILTER (head) AS node_id, max(title) FILTER (head) AS title, coalesce(string_agg('word' || n || ' ends', ' ' ORDER BY n) FILTER (NOT head), '') AS body FROM s WHERE sec > 0 GROUP BY doc, sec
+""")
+def tree_lines(spark: SparkSession, d: str) -> DataFrame:
+    """S-15, W-08, W-10: nodes from lines of text; a line that ends in a hyphen is joined to the next without it."""
+    p, k = load(spark, d, "part"), F.col("p_partkey")
+    head = k % 5 == 0
+    each = F.when(head, F.array(F.concat(F.lit("L.1."), _s("p_size"), F.lit(" "), "p_name"))).otherwise(F.array(F.concat(F.lit("  word"), _s(k), F.lit(" en-")), F.lit("ds")))
+    lines = p.select(F.col("p_brand").alias("doc"), k, F.posexplode(each).alias("i", "line")).select("doc", (k * 2 + F.col("i")).alias("n"), "line")
+    return crosswalk.tree_lines(lines)
+
+
+@query(f"""WITH {_GG}, c AS (SELECT t.threat_type AS category, coalesce(sum(tp), 0)::INT AS tp, coalesce(sum(fp), 0)::INT AS fp, coalesce(sum(fn), 0)::INT AS fn
+  FROM (SELECT unnest({list(THREAT_TYPES)}) AS threat_type) t LEFT JOIN out_ USING (threat_type) GROUP BY ROLLUP (t.threat_type))
+SELECT rpad(coalesce(category, 'ALL'), 10, ' ') || ' ' || lpad(tp::VARCHAR, 5, ' ') || ' ' || lpad(fp::VARCHAR, 5, ' ') || ' ' || lpad(fn::VARCHAR, 5, ' ') AS line FROM c""")
+def report_lines(spark: SparkSession, d: str) -> DataFrame:
+    """S-22: a report's fixed-width lines, up to the counts."""
+    gen, gold = _threats(spark, d)
+    lines = runs.report(metrics.by_type(gen, gold, matching.match(gen, gold)))
+    return lines.select(F.substring("line", 1, 28).alias("line"))
+
+
+@query("SELECT page_id FROM pages WHERE page_id % 4 > 1 OR page_id % 4 = 1 AND page_id % 3 > 0")
+def kept_files(spark: SparkSession, d: str) -> DataFrame:
+    """S-01, S-04: a scenario's files without diagrams and derived folders."""
+    k = F.col("page_id")
+    path = F.when(k % 4 == 0, F.concat(F.lit("s_derived/"), _s(k), F.lit(".md"))).when((k % 4 == 1) & (k % 3 == 0), F.concat(F.lit("s/"), _s(k), F.lit("/dfd.json"))).otherwise(F.concat(F.lit("s/"), _s(k), F.lit(".md")))
+    return load(spark, d, "pages").withColumn("doc", path).where(corpus.kept("doc", "scenarios")).select("page_id")
+
+
+@query("SELECT event_id FROM events WHERE event_type <> 'error'")
+def only_ok_rows(spark: SparkSession, d: str) -> DataFrame:
+    """P-16: rows whose status is ok or absent."""
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "ok")
+    return runs.only_ok(load(spark, d, "events").withColumn("status", status)).select("event_id")
