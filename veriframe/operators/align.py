@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,28 +75,42 @@ def align_elements(derived: DataFrame, hand: DataFrame) -> DataFrame:
     return one.unionByName(many)
 
 
-def _best_first(scored: Column) -> Column:
-    """A fold over (score, hand, derived) from best to worst that takes a pair if both sides are free, then the leftovers."""
-    start = F.struct(F.array().cast("array<struct<derived:string,hand:string,first:boolean>>").alias("pairs"), F.array().cast("array<string>").alias("hands"), F.array().cast("array<string>").alias("taken"))
+def _best_first(scored: DataFrame) -> DataFrame:
+    """(derived, hand, ambiguous) of (s, t, neg, hand, derived): of each (s, t), pairs from best to worst whose sides are free.
+
+    A leftover joins its best; of equal scores the largest hand id. What is taken depends on all before it, so a pair of
+    end points is walked in one task, its rows sorted and passing by; only ids are remembered.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, hands, taken, best = None, set(), set(), {}
 
-    def step(acc: Column, x: Column) -> Column:
-        busy = F.array_contains(acc["hands"], x["hand"]) | F.array_contains(acc["taken"], x["derived"])
-        return F.when(busy, acc).otherwise(F.struct(F.concat(acc["pairs"], F.array(F.struct(x["derived"].alias("derived"), x["hand"].alias("hand"), F.lit(True).alias("first")))).alias("pairs"), F.concat(acc["hands"], F.array(x["hand"])).alias("hands"), F.concat(acc["taken"], F.array(x["derived"])).alias("taken")))
+        def out(rows: list[tuple[str, str, bool]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.bool_())], names=["derived", "hand", "ambiguous"])
 
-    def finish(acc: Column) -> Column:
-        left = F.array_except(F.transform(scored, lambda x: x["derived"]), acc["taken"])
-        # a leftover joins its best; of equal scores the largest hand id
-        best = lambda d: F.array_max(F.transform(F.filter(scored, lambda x: x["derived"] == d), lambda x: F.struct((-x["neg"]).alias("s"), x["hand"].alias("h"))))
-        return F.concat(acc["pairs"], F.transform(left, lambda d: F.struct(d.alias("derived"), best(d)["h"].alias("hand"), F.lit(False).alias("first"))))
+        for b in batches:
+            rows = []
+            for s, t, neg, hand, derived in zip(*(c.to_pylist() for c in b.columns)):
+                if (s, t) != group:
+                    rows += [(d, h, False) for d, (_, h) in best.items() if d not in taken]
+                    group, hands, taken, best = (s, t), set(), set(), {}
+                if derived not in best or best[derived][0] == neg:
+                    best[derived] = neg, max(hand, best.get(derived, (neg, hand))[1])
+                if hand not in hands and derived not in taken:
+                    hands.add(hand)
+                    taken.add(derived)
+                    rows.append((derived, hand, True))
+            yield out(rows)
+        yield out([(d, h, False) for d, (_, h) in best.items() if d not in taken])
 
-    return F.aggregate(scored, start, step, finish)
+    return scored.repartition("s", "t").sortWithinPartitions("s", "t", "neg", "hand", "derived").mapInArrow(run, "derived string, hand string, ambiguous boolean")
 
 
 def align_flows(derived: DataFrame, hand: DataFrame, elements: DataFrame) -> DataFrame:
     """J-16, O-07: (derived, hand, ambiguous): derived flows projected by the elements' alignment onto the hand flows' end points.
 
     One hand flow between two elements takes all its candidates. Several are told apart by the shared share of the
-    descriptions' tokens: best first one to one, then each leftover to its best. Each pair of end points is folded alone.
+    descriptions' tokens: best first one to one, then each leftover to its best. Each pair of end points is walked alone.
     """
     e = elements.select(F.col("derived").alias("_d"), F.col("hand").alias("_h"))
     s, t = e.toDF("_ds", "_hs"), e.toDF("_dt", "_ht")
@@ -103,9 +120,8 @@ def align_flows(derived: DataFrame, hand: DataFrame, elements: DataFrame) -> Dat
     both = p.join(h, ["s", "t"])
     plain = both.where("n = 1").select(F.col("d").alias("derived"), F.col("h").alias("hand"), F.lit(False).alias("ambiguous"))
     score = jaccard(align_tokens("hd"), align_tokens("dd"))
-    folded = both.where("n > 1").groupBy("s", "t").agg(F.array_sort(F.collect_list(F.struct((-score).alias("neg"), F.col("h").alias("hand"), F.col("d").alias("derived")))).alias("scored")).select(_best_first(F.col("scored")).alias("p"))
-    ambiguous = folded.select(F.inline("p")).select("derived", "hand", F.col("first").alias("ambiguous"))
-    return plain.unionByName(ambiguous)
+    scored = both.where("n > 1").select("s", "t", (-score).alias("neg"), F.col("h").alias("hand"), F.col("d").alias("derived"))
+    return plain.unionByName(_best_first(scored))
 
 
 def derivability(items: DataFrame, aligned: DataFrame, underivable: Column, unresolved: Column, *by: str) -> DataFrame:

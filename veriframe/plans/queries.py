@@ -787,7 +787,22 @@ def budget_fill(spark: SparkSession, d: str) -> DataFrame:
     return accept.budget_fill(docs, ["source"], "file", "n_chars", 50_000)
 
 
-@query()
+_ALIGN = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ('" + "', '".join(X.ALIGN_STOP) + "')))"
+
+
+# each step takes the best pair of a group whose two sides are free
+@query(f"""
+WITH RECURSIVE h AS (SELECT 'H' || lpad(item_id::VARCHAR, 6, '0') AS h, item_id % 20 AS g, {_ALIGN} AS t FROM benchmark),
+d AS (SELECT 'D' || lpad(conv_id::VARCHAR, 6, '0') || '.' || lpad(turn::VARCHAR, 3, '0') AS d, conv_id % 20 AS g, {_ALIGN} AS t FROM conversations),
+s AS (SELECT g, h, d, CASE WHEN len(h.t) + len(d.t) = 0 THEN 0.0 ELSE len(list_intersect(h.t, d.t))::DOUBLE / len(list_distinct(list_concat(h.t, d.t))) END AS score FROM h JOIN d USING (g)),
+p AS (SELECT g, list({{'h': h, 'd': d}} ORDER BY score DESC, h, d) AS pairs, count(DISTINCT h) AS n FROM s GROUP BY ALL),
+walk AS (SELECT g, []::VARCHAR[] AS hands, []::VARCHAR[] AS taken, NULL::STRUCT(h VARCHAR, d VARCHAR) AS hit FROM p
+  UNION ALL SELECT g, list_append(hands, hit.h), list_append(taken, hit.d), hit
+  FROM (SELECT w.g, w.hands, w.taken, list_filter(pairs, lambda x: NOT list_contains(w.hands, x.h) AND NOT list_contains(w.taken, x.d))[1] AS hit FROM walk w JOIN p ON p.g = w.g AND p.n > 1) WHERE hit IS NOT NULL),
+won AS (SELECT hit.d AS derived, hit.h AS hand, true AS ambiguous FROM walk WHERE hit IS NOT NULL)
+SELECT * FROM won
+UNION ALL SELECT d, max({{'s': score, 'h': s.h}}).h, false FROM s JOIN p USING (g) WHERE d NOT IN (SELECT derived FROM won) GROUP BY d
+""")
 def ambiguous_flow_alignment(spark: SparkSession, d: str) -> DataFrame:
     """J-16, O-07, U-05: benchmark items (hand) and documents (derived) of the same group, told apart by their tokens."""
     hand = load(spark, d, "benchmark").select(F.concat(F.lit("H"), F.lpad(F.col("item_id").cast("string"), 6, "0")).alias("id"), F.col("text").alias("description"), (F.col("item_id") % 20).cast("string").alias("source"), F.lit("t").alias("destination"))
