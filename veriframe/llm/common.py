@@ -30,18 +30,24 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or one of our own where that is unset.
+    """The folder all executors see: ``spark.checkpoint.dir``.
 
-    A temporary local folder is used with a local master only; elsewhere an unset setting falls back on the warehouse,
-    which is shared by definition.
+    Where that is unset, a temporary local folder with a local master; on a cluster the warehouse, if it is in a store and
+    not a folder of this machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     app = spark.sparkContext.applicationId
     if app not in _own:
-        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
-        _own[app] = tempfile.mkdtemp(prefix="veriframe-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_veriframe"
+        master = spark.sparkContext.master
+        if master.startswith("local") and not master.startswith("local-cluster"):
+            _own[app] = tempfile.mkdtemp(prefix="veriframe-")
+        else:
+            warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+            if "://" not in warehouse or warehouse.startswith("file:"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            _own[app] = f"{warehouse}/_veriframe"
     return _own[app]
 
 
