@@ -117,8 +117,9 @@ def repeats(rows: DataFrame, line: int = LINE, paragraph: int = PARAGRAPH) -> Da
     return found.join(groups, ["h1", "h2"]).where(F.col("k") != F.col("first")).groupBy("k").agg(F.collect_set("h1").alias("cuts"))
 
 
-def cut(text: str, cuts: set[int], line: int = LINE, paragraph: int = PARAGRAPH) -> tuple[str, list[tuple[int, int]], int]:
-    """The text without the units whose digest is in ``cuts`` or came before in it, the merged spans removed, all units.
+def cut(text: str, cuts: set[int], line: int = LINE, paragraph: int = PARAGRAPH) -> tuple[str, list[tuple[int, int, int]], int]:
+    """The text without the units whose digest is in ``cuts`` or came before in it, the merged spans (start, end, words)
+    removed, all units.
 
     cuts: first halves of digests, as signed numbers.
     """
@@ -135,27 +136,27 @@ def cut(text: str, cuts: set[int], line: int = LINE, paragraph: int = PARAGRAPH)
     place = [m.span() for m in _WORD.finditer(text)]
     spans: list[list[int]] = []
     for i, j in gone:
-        a, b = place[i][0], place[j - 1][1]
-        if spans and (a < spans[-1][1] or not text[spans[-1][1] : a].strip()):
-            spans[-1][1] = max(spans[-1][1], b)
+        if spans and i <= spans[-1][1]:  # spans are of words here
+            spans[-1][1] = max(spans[-1][1], j)
         else:
-            spans.append([a, b])
+            spans.append([i, j])
+    spans = [[place[i][0], place[j - 1][1], j - i] for i, j in spans]
     kept, at = [], 0
-    for a, b in spans:
+    for a, b, _ in spans:
         kept.append(text[at:a])
         # white space between what is kept before and after a span is not doubled
         while b < len(text) and text[b].isspace() and (a == 0 or text[a - 1].isspace()):
             b += 1
         at = b
     kept.append(text[at:])
-    return "".join(kept), [(a, b) for a, b in spans], len(all_of)
+    return "".join(kept), [tuple(x) for x in spans], len(all_of)
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", line: int = LINE, paragraph: int = PARAGRAPH) -> DataFrame:
     """``docs`` with its repeated units removed from ``text``, and two more columns.
 
-    n_units: the text's units (lines and paragraphs). spans: array of (start, end), the code points removed from the
-    original text, merged and in order. Every row stays, with an empty text if all of it occurs earlier; a null text
+    n_units: the text's units (lines and paragraphs). spans: array of (start, end, words), the code points removed from
+    the original text, merged and in order, and how many words they are. Every row stays, with an empty text if all of it occurs earlier; a null text
     stays null. Rows with a null key rank first, by their texts' hashes; so do different texts of one key among each
     other. Rows that repeat key and text count as one document: each keeps its first occurrence of a unit. Columns that
     are named like the two new ones are replaced.
@@ -167,9 +168,9 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", li
     rows = docs.select(F.struct(*(docs[c] for c in order)).alias("_row"), who.alias("_j"))
     both = rows.join(cuts, rows["_j"] == cuts["_k"], "left").select("_row", "cuts")
     row_type = both.schema["_row"].dataType
-    schema = T.StructType([*row_type.fields, T.StructField("n_units", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
+    schema = T.StructType([*row_type.fields, T.StructField("n_units", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("words", T.LongType())])))])
     at = order.index(text)
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,7 +180,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", li
                 t = parts[at][i].as_py()
                 out = (None, [], 0) if t is None else cut(t, set(b.column(1)[i].as_py() or ()), line, paragraph)
                 texts.append(out[0])
-                spans.append([{"start": x, "end": y} for x, y in out[1]])
+                spans.append([{"start": x, "end": y, "words": w} for x, y, w in out[1]])
                 n.append(out[2])
             parts[at] = pa.array(texts, parts[at].type)
             yield pa.RecordBatch.from_arrays([*parts, pa.array(n, pa.int64()), pa.array(spans, span)], names=[*order, "n_units", "spans"])

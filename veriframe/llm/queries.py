@@ -51,7 +51,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return linededup.without_repeats(docs).select("doc_id", "n_units", F.size("spans").alias("n_removed"), F.coalesce(F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"]), F.lit(0)).alias("removed_chars"), "spans", "text")
+    return linededup.without_repeats(docs).select("doc_id", "n_units", F.size("spans").alias("n_removed"), F.size(F.filter("spans", lambda x: x["words"] >= linededup.PARAGRAPH)).alias("n_passages"), F.coalesce(F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["end"] - x["start"]), F.lit(0)).alias("removed_chars"), "spans", "text")
 
 
 def op10_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
