@@ -12,8 +12,8 @@ from veriframe.functions import text as X
 from veriframe.operators import accept, align, crosswalk, facts, matching, metrics, threats
 from veriframe.operators.validate import violations
 from veriframe.plans import comparison
-from veriframe.plans.queries import _DFD, _GG, _GREEDY, _PRF, _TYPE_SQL, _diagram, _rounded, _threats, query
-from veriframe.sources import corpus, runs
+from veriframe.plans.queries import _DFD, _GG, _GREEDY, _PRF, _TYPE_SQL, _diagram, _rounded, _threats, _type_of, query
+from veriframe.sources import catalog, corpus, runs
 from veriframe.tables import DFD, THREAT_TYPES, invalid_pairs, load, mapping
 
 
@@ -653,3 +653,36 @@ def only_ok_rows(spark: SparkSession, d: str) -> DataFrame:
     """P-16: rows whose status is ok or absent."""
     status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "ok")
     return runs.only_ok(load(spark, d, "events").withColumn("status", status)).select("event_id")
+
+
+@query(f"""WITH g AS (SELECT user_id % 7 AS catalog, {_TYPE_SQL} AS t FROM events), n AS (SELECT catalog, t, count(*) AS n FROM g GROUP BY ALL)
+SELECT catalog, sum(n)::BIGINT AS count, string_agg(t || '=' || n, ',' ORDER BY t) AS type_distribution FROM n GROUP BY ALL""")
+def catalog_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    """S-29: what a catalog's builder records: its size and its distribution over types."""
+    e = load(spark, d, "events").select((F.col("user_id") % 7).alias("catalog"), _type_of().alias("threat_type"))
+    out = catalog.described(e, "catalog")
+    pairs = F.transform(F.map_entries("type_distribution"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string")))
+    return out.select("catalog", "count", F.array_join(pairs, ",").alias("type_distribution"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN CASE WHEN o_orderkey % 20 > 0 THEN o_custkey END ELSE o_orderkey END AS row FROM orders")
+def catalog_source_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Z-10: the source row of each catalog row: an override, which may say that there is none, else its own id."""
+    o, k = load(spark, d, "orders"), F.col("o_orderkey")
+    overrides = o.where(k % 10 == 0).select(k.alias("id"), F.when(k % 20 > 0, F.col("o_custkey")).alias("row"))
+    return catalog.source_rows(o.select(k.alias("id")), overrides)
+
+
+@query("SELECT p_partkey, p_size % 3 = 1 AS broken FROM part")
+def broken_formulas(spark: SparkSession, d: str) -> DataFrame:
+    """Z-14: rows whose ranking breaks the formula, among rows with other issues."""
+    n = F.col("p_size") % 3
+    issues = F.when(n == 0, F.array().cast("array<string>")).when(n == 1, F.array(F.lit("title differs"), F.lit("formula: 0.3, not 0.4"))).otherwise(F.array(F.lit("the formula: unclear")))
+    return load(spark, d, "part").select("p_partkey", catalog.broken_formula(issues).alias("broken"))
+
+
+@query("SELECT p_brand AS node_id, coalesce(arg_max(t, p_partkey), '') AS title FROM (SELECT p_brand, p_partkey, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_name END AS t FROM part) GROUP BY ALL")
+def node_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Z-14, Z-07: titles of nodes; of a node in several trees the last one's."""
+    k = F.col("p_partkey")
+    return catalog.titles(load(spark, d, "part").select(F.col("p_brand").alias("node_id"), k.alias("threat_type"), F.when(k % 4 == 0, "").otherwise(F.col("p_name")).alias("title")))
