@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriframe.functions import text as X
-from veriframe.operators import accept, align, crosswalk, facts, matching, metrics, threats
+from veriframe.operators import accept, align, crosswalk, facts, matching, metrics, raster, threats
 from veriframe.operators.validate import violations
 from veriframe.plans import comparison
 from veriframe.plans.queries import _DFD, _GG, _GREEDY, _PRF, _TYPE_SQL, _diagram, _rounded, _threats, _type_of, query
@@ -686,3 +686,32 @@ def node_titles(spark: SparkSession, d: str) -> DataFrame:
     """Z-14, Z-07: titles of nodes; of a node in several trees the last one's."""
     k = F.col("p_partkey")
     return catalog.titles(load(spark, d, "part").select(F.col("p_brand").alias("node_id"), k.alias("threat_type"), F.when(k % 4 == 0, "").otherwise(F.col("p_name")).alias("title")))
+
+
+@query("""
+WITH lines AS (SELECT conv_id, turn, unnest(list_concat(['## ' || role], string_split(text, chr(10)))) AS line, generate_subscripts(list_concat(['## ' || role], string_split(text, chr(10))), 1) AS k FROM conversations),
+m AS (SELECT *, (line LIKE '## %' OR line LIKE '# %')::INT AS mark FROM lines),
+s AS (SELECT *, sum(mark) OVER (PARTITION BY conv_id ORDER BY turn, k ROWS UNBOUNDED PRECEDING) AS sec FROM m),
+g AS (SELECT conv_id, sec, coalesce(max(CASE WHEN mark = 1 THEN trim(ltrim(line, '# ')) END), '') AS section, regexp_replace(string_agg(CASE WHEN mark = 0 THEN line END, chr(10) ORDER BY turn, k), '^\\s+|\\s+$', '', 'g') AS body FROM s GROUP BY conv_id, sec),
+c AS (SELECT conv_id, sec, section, body, unnest(CASE WHEN length(body) > 700 THEN range(0, length(body), 600) ELSE [0] END) AS start FROM g WHERE body <> '')
+SELECT 'conversations:' || conv_id || ':' || (row_number() OVER (PARTITION BY conv_id ORDER BY sec, start) - 1) AS id, section, md5(substr(body, start + 1, 700)) AS digest FROM c
+""")
+def markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """S-02, W-01: chunks of documents in Markdown with their running ids."""
+    c = load(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("## "), "role", F.lit("\n"), "text").alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    return corpus.markdown_chunks(c.select(_s("conv_id").alias("doc"), "text"), "conversations").select("id", "section", F.md5("text").alias("digest"))
+
+
+@query("""
+WITH b AS (SELECT p_partkey, p_partkey % 18 AS x, p_partkey * 7 % 23 - 2 AS y, p_size % 6 AS w, 4 AS h FROM part),
+c AS (SELECT *, greatest(0, least(20, x + w) - greatest(0, x)) * greatest(0, least(20, y + h) - greatest(0, y)) AS area, greatest(0, least(15, x + w) - greatest(5, x)) * greatest(0, least(15, y + h) - greatest(5, y)) AS ink FROM b)
+SELECT p_partkey, x >= 0 AND y >= 0 AND w > 0 AND h > 0 AND x + w <= 20 AND y + h <= 20 AS citations_resolvable, area > 0 AND ink / area > 0.005 AS region_has_content FROM c
+""")
+def image_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """F-21, A-26, U-06: boxes on an image with a dark square on a plain ground: inside it, and drawn on or not."""
+    k = F.col("p_partkey")
+    grey = bytes(0 if 5 <= x < 15 and 5 <= y < 15 else 200 for y in range(20) for x in range(20))
+    images = spark.createDataFrame([(i, 20, 20, bytearray(grey)) for i in range(7)], "image int, width int, height int, grey binary")
+    boxes = load(spark, d, "part").select((k % 7).cast("int").alias("image"), _s(k).alias("item"), F.array(k % 18, k * 7 % 23 - 2, F.col("p_size") % 6, F.lit(4)).cast("array<int>").alias("box"))
+    out = raster.item_checks(boxes.select("image", "item"), raster.box_checks(boxes, images, 1.0))
+    return out.select(F.col("item").cast("bigint").alias("p_partkey"), "citations_resolvable", "region_has_content")
