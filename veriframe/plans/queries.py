@@ -12,7 +12,7 @@ from veriframe.functions.logic import verdict
 from veriframe.operators import accept, align, crosswalk, facts, matching, metrics, retrieval, threats
 from veriframe.sources import corpus, runs
 from veriframe.streaming import incremental
-from veriframe.tables import THREAT_TYPES, VALID_PAIRS, invalid_pairs, load, mapping
+from veriframe.tables import THREAT_TYPES, VALID_PAIRS, invalid_pairs, load, mapping, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -60,7 +60,7 @@ FROM (SELECT doc_id, text, unnest(CASE WHEN length(text) > 700 THEN range(0, len
 """)
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     """T-01, N15."""
-    p = load(spark, d, "documents").select("doc_id", F.explode(corpus.pieces("text")).alias("p"))
+    p = spread(load(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(corpus.pieces("text")).alias("p"))
     return p.select("doc_id", F.col("p.start").cast("bigint").alias("start"), F.length("p.text").cast("bigint").alias("len"), F.md5("p.text").alias("digest"))
 
 
@@ -82,7 +82,7 @@ def section_split(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_BM25}, full_ AS (SELECT query_id, doc_id, max(score) AS score FROM (SELECT * FROM s UNION ALL SELECT item_id, doc_id, 0 FROM benchmark, (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 10)) GROUP BY ALL) {_TOP5}""")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     """R-01 to R-04, J-33, W-03, N17."""
-    docs = load(spark, d, "documents").select("doc_id", "text")
+    docs = spread(load(spark, d, "documents").select("doc_id", "text"))
     return _found(retrieval.Index.build(docs).search(_asked(spark, d), hybrid=False))
 
 
@@ -103,7 +103,7 @@ s AS (SELECT query_id, doc_id, sum(dw.x / dn.norm * qw.x / qn.norm) AS score FRO
 @query(f"""WITH {_TFIDF}, full_ AS (SELECT query_id, doc_id, max(score) AS score FROM (SELECT * FROM s UNION ALL SELECT item_id, doc_id, 0 FROM benchmark, (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 10)) GROUP BY ALL) {_TOP5}""")
 def tfidf_topk(spark: SparkSession, d: str) -> DataFrame:
     """R-05, W-03."""
-    docs = load(spark, d, "documents").select("doc_id", "text")
+    docs = spread(load(spark, d, "documents").select("doc_id", "text"))
     return _found(retrieval.Index.build(docs, "tfidf").search(_asked(spark, d), hybrid=False))
 
 
@@ -116,7 +116,7 @@ kw AS (SELECT query_id, doc_id, count(*) / any_value(n) AS kw FROM dk JOIN qk US
 @query(f"""WITH {_KW} SELECT query_id, doc_id, round(kw, 6) AS kw FROM kw""")
 def keyword_overlap(spark: SparkSession, d: str) -> DataFrame:
     """R-07: all pairs that share a token."""
-    kw = retrieval.keyword_overlap(load(spark, d, "documents"), _asked(spark, d), few=True)
+    kw = retrieval.keyword_overlap(spread(load(spark, d, "documents").select("doc_id", "text")), _asked(spark, d), few=True)
     return kw.select("query_id", "doc_id", F.round("kw", 6).alias("kw"))
 
 
@@ -126,7 +126,7 @@ e AS (SELECT * FROM documents WHERE lang = 'en'),
 full_ AS (SELECT query_id, doc_id, max(score) AS score FROM (SELECT b.* FROM b JOIN e USING (doc_id) UNION ALL SELECT item_id, doc_id, 0 FROM benchmark, (SELECT doc_id FROM e ORDER BY doc_id LIMIT 10)) GROUP BY ALL) {_TOP5}""")
 def hybrid_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     """R-08, W-02, P-05, N11: the peak is over all documents, the filter after it."""
-    docs = load(spark, d, "documents").select("doc_id", "text", "lang")
+    docs = spread(load(spark, d, "documents").select("doc_id", "text", "lang"))
     return _found(retrieval.Index.build(docs).search(_asked(spark, d), where=F.col("lang").eqNullSafe("en")))
 
 
@@ -154,7 +154,7 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_BM25.split("qt AS")[0].rstrip().rstrip(",")} SELECT term, df, round(idf, 6) AS idf, round(avg_len, 6) AS avg_len FROM idf""")
 def idf_table(spark: SparkSession, d: str) -> DataFrame:
     """A-19."""
-    return retrieval.bm25_statistics(load(spark, d, "documents")).select("term", "df", F.round("idf", 6).alias("idf"), F.round("avg_len", 6).alias("avg_len"))
+    return retrieval.bm25_statistics(spread(load(spark, d, "documents").select("doc_id", "text"))).select("term", "df", F.round("idf", 6).alias("idf"), F.round("avg_len", 6).alias("avg_len"))
 
 
 # events as threats: the first half of the month is the catalog, the second what was generated

@@ -33,6 +33,20 @@ GOLD = "id int, interaction string, dfd_source_id string, dfd_destination_id str
 FACT = "id string, construct string, file string, line int, end_line int, fields map<string,string>, derived boolean, confidence string"
 
 
+#: Bytes of a file whose rows are dealt to all cores.
+SMALL = 64_000_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of one small file dealt to all cores, as its only row group would be one task's work.
+
+    Tables of several files or of more than SMALL bytes are left as they are: their row groups are tasks enough.
+    """
+    if len(df.inputFiles()) != 1 or int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes())) > SMALL:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of a folder of Parquet files."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
