@@ -628,6 +628,12 @@ def test_reports(spark, tmp_path):
     assert runs.report(metrics.scored(counts)).collect()[-1]["line"].startswith("ALL")
 
 
+def test_report_writes_large_counts_whole(spark):
+    counts = spark.createDataFrame([("ALL", 235362, 63798, 3_000_000_000), ("L", 1, 0, 0)], "category string, tp bigint, fp bigint, fn bigint")
+    got = [r["line"].split() for r in runs.report(metrics.scored(counts)).collect()]
+    assert [x[:4] for x in got] == [["L", "1", "0", "0"], ["ALL", "235362", "63798", "3000000000"]] and {len(x) for x in got} == {7}
+
+
 def test_state_is_resumable(spark, tmp_path):
     state, rows = str(tmp_path / "state"), spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k int, v string")
     runs.append_state(rows, state, ["k"])

@@ -93,6 +93,9 @@ def scenario_of(name: str | Column) -> Column:
 
 
 def report(counts: DataFrame) -> DataFrame:
-    """S-22: scored counts as fixed-width lines, the total last; figures are in the columns, this is a view of them."""
-    line = F.format_string("%-10s %5d %5d %5d %9.2f %6.2f %6.2f", "category", F.col("tp").cast("int"), F.col("fp").cast("int"), F.col("fn").cast("int"), "precision", "recall", "f1")
+    """S-22: scored counts as fixed-width lines, the total last; figures are in the columns, this is a view of them.
+
+    Widths are the least: a longer name or count is written whole and moves what follows.
+    """
+    line = F.format_string("%-10s %5d %5d %5d %9.2f %6.2f %6.2f", "category", *(F.col(c).cast("bigint") for c in ("tp", "fp", "fn")), "precision", "recall", "f1")
     return counts.select((F.col("category") == "ALL").alias("last"), "category", line.alias("line")).orderBy("last", "category").select("line")
